@@ -40,6 +40,14 @@ def drop(*dfs: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def hint_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """Broadcast a table made by cut() if its files are small; a larger one is left to a shuffled join."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
