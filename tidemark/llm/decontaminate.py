@@ -16,13 +16,12 @@ from tidemark.llm.common import cut, drop, hint_small
 MASKS = ("11001011", "11010011")
 #: Tokens of an overlap (or the whole item, where that is shorter), and the share of them that must agree.
 WINDOW, SIMILAR = 13, 0.8
-SPLIT = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
     """Hashes of the lower-case runs of letters and digits."""
-    words = F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def seeds(toks: Column, mask: str, number: int) -> Column:
@@ -33,9 +32,21 @@ def seeds(toks: Column, mask: str, number: int) -> Column:
 
 
 def _all_seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Adds `at` (place) and `seed`, a row for each place and mask."""
-    each = [F.transform(seeds(F.col("toks"), m, n), lambda h, i: F.struct(i.alias("at"), h.alias("seed"))) for n, m in enumerate(masks)]
-    return df.withColumn("s", F.explode(F.concat(*each))).select(*df.columns, "s.at", "s.seed")
+    """Adds `pos` and `seed`, a row for each place and mask: all places of the first mask, then those of the next."""
+    each = [seeds(F.col("toks"), m, n) for n, m in enumerate(masks)]
+    # The array is a column before it is exploded: explode and the join after it then are compiled code and copy no row in between. The outer
+    # form keeps the optimizer from testing the array's size first, which would compute it, and the tokens at each of its places, again.
+    return df.withColumn("seeds", F.concat(*each)).select(*df.columns, F.posexplode_outer("seeds").alias("pos", "seed"))
+
+
+def _place(masks: tuple[str, ...]) -> Column:
+    """The token at which the seed at `pos` begins."""
+    at, before = F.col("pos"), F.lit(0)
+    for mask in masks:
+        fits = F.greatest(F.size("toks") - len(mask) + 1, F.lit(0))
+        at = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(at)
+        before = before + fits
+    return at
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, similar: float = SIMILAR) -> DataFrame:
@@ -53,10 +64,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     shortest = min(map(len, masks))
     short = [r[0] for r in items.where(F.size("item") < shortest).select(F.size("item")).distinct().collect()]  # a few lengths below a mask's
     used = (*masks, *("1" * n for n in sorted(short)))
-    bench = cut(_all_seeds(items.select("item_id", F.col("item").alias("toks")), used).select("item_id", F.col("at").alias("item_at"), "seed").distinct(), "bench-seeds")
+    bench = _all_seeds(items.select("item_id", F.col("item").alias("toks")), used).select("item_id", _place(used).alias("item_at"), "seed")
+    bench = cut(bench.where("seed is not null").distinct(), "bench-seeds")
     rows = _all_seeds(docs.select("doc_id", tokens(F.col("text")).alias("toks")), used)
     hits = rows.join(hint_small(bench), "seed").join(hint_small(items), "item_id")
-    start = F.col("at") - F.col("item_at")
+    start = _place(used) - F.col("item_at")
     # the tokens of the document beside the item's, null where the document has none
     beside = F.transform("item", lambda x, j: F.coalesce((F.try_element_at("toks", F.when(start + j >= 0, start + j + 1)) == x).cast("int"), F.lit(0)))
     hits = hits.select("doc_id", "item_id", start.alias("doc_start"), F.size("toks").alias("size"), F.size("item").alias("n"), beside.alias("eq")).distinct()

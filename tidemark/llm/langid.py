@@ -198,3 +198,21 @@ def language_id(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learn from the rows that are not held out, predict for every row."""
     filters = train(docs, ~held_out(F.col("doc_id")))
     return identify(docs, filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: Share of a document's n-grams that its language explains, below which a corpus does without the document.
+LEAST_SCORE = 0.3
+
+
+def keep_identified(docs: DataFrame, filters: Filters, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs (text, ...) with all their columns whose language is known with at least least_score; `und` goes."""
+    small_batches(docs.sparkSession, 500)
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for b in batches:
+            lang, score = shared.value.decide(b.column("text").to_pylist())
+            keep = [x != "und" and s >= least_score for x, s in zip(lang, score, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

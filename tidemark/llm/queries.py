@@ -9,21 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.langid import language_id
 from tidemark.llm.linededup import dedup_lines
+from tidemark.llm.nbsvm import quality
+from tidemark.llm.preference import format_pairs, swapped_pairs
 from tidemark.llm.records import token_records
+from tidemark.llm.sentencepiece_fst import encode_documents
+from tidemark.llm.sharding import shard
 from tidemark.llm.simhash import simhash_dedup
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = format_pairs(swapped_pairs(table(spark, sf_dir, "conversations")))
+    spans = [F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c) for c in ("chosen_mask", "rejected_mask")]
+    return out.select("pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected", *spans)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,13 +56,17 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op4_langid, op7_decontaminate, op8_linededup, op10_records)
+    for f in (op1_sentencepiece, op2_simhash, op3_preference, op4_langid, op5_embeddings, op6_quality, op7_decontaminate, op8_linededup, op9_sharding, op10_records)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Token ids in length-delimited binary records, with an offset index beside them.
 
 A record is: length of the payload (8 bytes, little-endian), masked checksum of these 8 bytes (4), payload, masked checksum of the
-payload (4). The payload is a document's ids as little-endian unsigned integers, 2 bytes each where the vocabulary allows it. The mask
+payload (4). The payload is a document's ids as little-endian unsigned integers, 2 bytes each where the vocabulary allows it (the array module's byte order is the machine's; records are written on little-endian machines). The mask
 rotates the CRC-32 right by 15 bits and adds a constant, so that checksums of data that hold checksums stay distinct. The index is a
 Parquet table with a row for each record: file, offset, length, and the ids that come before it in its file; only files it names count,
 so what a lost or repeated task leaves behind is never read.
@@ -10,10 +10,11 @@ so what a lost or repeated task leaves behind is never read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import scratch_path, shuffle_partitions, small_batches
 
 MASK_DELTA = 0xA282EAD8
-KEPT_WORDS = 400_000
+KEPT_WORDS, LONG = 1_000_000, 40
+#: Stretches in which a change between letter and mark ends a pre-token. Apostrophes and angle brackets are left to the tokenizer.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%&$#*|()+=/-"
+PLAIN = re.compile("[a-z]+")
+SIMPLE, RUNS = re.compile(f"[{_LETTER}{_MARK}]+"), re.compile(f"[{_LETTER}]+|[{_MARK}]+")
 INDEX = "doc_id long, file string, file_no int, offset long, length long, id_bytes int, before long, n_tokens long"
 
 
@@ -51,38 +56,45 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-class WordEncoder:
-    """Whole texts to ids with a tokenizer whose pre-tokenizer drops blanks and never joins what they part.
+class WordEncoder(dict):
+    """Stretch of a text between blanks -> its ids' bytes, for a tokenizer whose pre-tokenizer drops blanks and never joins what they part.
 
-    Each distinct stretch between blanks goes to the tokenizers library once and its ids are kept, KEPT_WORDS stretches at most.
+    Stretches of Latin letters and marks are looked up by their runs of either, in lower case, which are pre-tokens of this tokenizer; a
+    run of plain letters goes to its model at once. Any other stretch passes through the whole tokenizer. KEPT_WORDS of them are kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, id_bytes: int):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, list[int]] = {}
+        self.kind = {2: "H", 4: "I"}[id_bytes]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        new = list(set(chain.from_iterable(words)).difference(self.kept))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.kept.update((w, e.ids) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True))
-        ids = self.kept.__getitem__
-        return [list(chain.from_iterable(map(ids, w))) for w in words]
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        if SIMPLE.fullmatch(word) and (runs := RUNS.findall(word.lower())) != [word]:
+            ids = b"".join([self[r] for r in runs])
+        elif PLAIN.fullmatch(word):
+            ids = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+        else:
+            ids = array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
 
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
-_encoders: dict[str, WordEncoder] = {}
 
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+
+def encoder(path: str, id_bytes: int) -> WordEncoder:
+    if (path, id_bytes) not in _encoders:
+        _encoders[path, id_bytes] = WordEncoder(path, id_bytes)
+    return _encoders[path, id_bytes]
 
 
 def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, id_bytes: int = 2) -> DataFrame:
@@ -93,7 +105,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, i
     """
     spark = docs.sparkSession
     small_batches(spark, 500)
-    kind = np.dtype(f"<u{id_bytes}")
+    end = end_id.to_bytes(id_bytes, "little")
 
     def run(batches):
         from pyspark import TaskContext
@@ -101,7 +113,7 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, i
         part = TaskContext.get().partitionId()
         name, out, offset, before = f"ids-{part:05d}-{uuid.uuid4().hex}.rec", None, 0, 0
         fs, base = pa.fs.FileSystem.from_uri(path)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, id_bytes)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -109,14 +121,13 @@ def write_records(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, i
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}")
             rows = []
-            for ids in enc.encode([t or "" for t in b.column(1).to_pylist()]):
-                ids = np.array([*ids, end_id], np.uint32)
-                if id_bytes < 4 and ids.max() >> (8 * id_bytes):
-                    raise ValueError(f"an id does not fit {id_bytes} bytes")
-                record = frame(ids.astype(kind).tobytes())
+            for text in b.column(1).to_pylist():
+                payload = enc.encode(text or "") + end
+                record = frame(payload)
                 out.write(record)
-                rows.append((offset, len(record), before, len(ids)))
-                offset, before = offset + len(record), before + len(ids)
+                n_ids = len(payload) // id_bytes
+                rows.append((offset, len(record), before, n_ids))
+                offset, before = offset + len(record), before + n_ids
             offsets, lengths, befores, sizes = map(pa.array, np.array(rows, np.int64).T)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * n), pa.array(np.full(n, part, np.int32)), offsets, lengths, pa.array(np.full(n, id_bytes, np.int32)), befores, sizes], ["doc_id", "file", "file_no", "offset", "length", "id_bytes", "before", "n_tokens"])
