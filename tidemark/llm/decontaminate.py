@@ -68,18 +68,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     bench = cut(bench.where("seed is not null").distinct(), "bench-seeds")
     rows = _all_seeds(docs.select("doc_id", tokens(F.col("text")).alias("toks")), used)
     hits = rows.join(hint_small(bench), "seed").join(hint_small(items), "item_id")
+    # let() binds a value once: expressions inside the functions of an array would be computed again at each of its places
     start = _place(used) - F.col("item_at")
     # the tokens of the document beside the item's, null where the document has none
-    beside = F.transform("item", lambda x, j: F.coalesce((F.try_element_at("toks", F.when(start + j >= 0, start + j + 1)) == x).cast("int"), F.lit(0)))
-    hits = hits.select("doc_id", "item_id", start.alias("doc_start"), F.size("toks").alias("size"), F.size("item").alias("n"), beside.alias("eq")).distinct()
-    width = F.least("n", F.lit(window))
-    # equal tokens of the first window, then one step of the window at a time
-    sums = F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), lambda i: F.aggregate(F.slice("eq", i, width), F.lit(0), lambda s, x: s + x))
-    best = F.array_max(sums) / width
+    beside = lambda st: F.transform("item", lambda x, j: F.coalesce((F.try_element_at("toks", F.when(st + j >= 0, st + j + 1)) == x).cast("int"), F.lit(0)))
+    ones = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
+    width = F.least(F.size("item"), F.lit(window))
+    best = lambda eq: F.array_max(F.transform(F.sequence(F.lit(1), F.size("item") - width + 1), lambda i: ones(F.slice(eq, i, width)))) / width
+    found = let(let(start, beside), lambda eq: F.struct(best(eq).alias("best_window"), ones(eq).alias("n_equal")))
+    hits = hits.select("doc_id", "item_id", start.alias("doc_start"), F.size("toks").alias("size"), F.size("item").alias("n"), found.alias("found")).where(F.col("found.best_window") >= similar)
     aligned = F.least(F.col("doc_start") + F.col("n"), F.col("size")) - F.greatest("doc_start", F.lit(0))
-    equal = F.aggregate("eq", F.lit(0), lambda s, x: s + x)
-    out = hits.withColumn("best_window", best).where(F.col("best_window") >= similar)
-    return out.select("doc_id", "item_id", "doc_start", aligned.alias("n_aligned"), equal.alias("n_equal"), "best_window")
+    return hits.select("doc_id", "item_id", "doc_start", aligned.alias("n_aligned"), "found.n_equal", "found.best_window").distinct()
+
+
+def let(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
 """Name -> query and name -> DuckDB SQL of the risk analytics."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import accounts, graphs, monitors, profiles, relational, scores  # noqa: F401  each registers its queries
+from tidemark.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
