@@ -69,4 +69,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_sentencepiece, op2_simhash, op3_preference, op4_langid, op5_embeddings, op6_quality, op7_decontaminate, op8_linededup, op9_sharding, op10_records)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TURN = "'<|im_start|>' || {} || chr(10) || {} || '<|im_end|>' || chr(10)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_preference": f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT conv_id, max(k) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id),
+    a AS (SELECT l.conv_id, l.n, t.text FROM l JOIN t ON t.conv_id = l.conv_id AND t.k = l.n),
+    p AS (SELECT a.conv_id AS pair_id, a.n, a.text AS own, b.text AS other, b.conv_id IS NOT NULL AS there FROM a LEFT JOIN a b ON b.conv_id = xor(a.conv_id, 1)),
+    c AS (SELECT *, CASE WHEN there AND other = own THEN n ELSE n - 1 END AS n_common FROM p),
+    s AS (SELECT c.pair_id, string_agg({_TURN.format("t.role", "t.text")}, '' ORDER BY t.k) AS prompt FROM c JOIN t ON t.conv_id = c.pair_id AND t.k <= c.n_common GROUP BY c.pair_id)
+    SELECT c.pair_id, n_common, coalesce(prompt, '') AS prompt, CASE WHEN n_common = n THEN '' ELSE {_TURN.format("'assistant'", "own")} END AS chosen, CASE WHEN n_common = n OR NOT there THEN '' ELSE {_TURN.format("'assistant'", "other")} END AS rejected,
+    CASE WHEN n_common = n THEN '' ELSE '22-' || (33 + length(own)) END AS chosen_mask, CASE WHEN n_common = n OR NOT there THEN '' ELSE '22-' || (33 + length(other)) END AS rejected_mask
+    FROM c LEFT JOIN s ON s.pair_id = c.pair_id"""
+}
