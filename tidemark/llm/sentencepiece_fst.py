@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -159,36 +160,54 @@ class Model:
 
     def path(self, text: str) -> list[str]:
         """Pieces of the shortest path through the composition with text. A state is a place and, in a BPE model, the piece that ends there."""
-        bpe = self.kind == BPE
-        states: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(len(text) + 1)]
-        states[0][""] = (0.0, 0, "")
+        if self.kind == BPE:
+            return self._bpe_path(text)
+        states: list[tuple[float, int, str]] = [(0.0, 0, ""), *[(float("inf"), 0, "")] * len(text)]
         for at in range(len(text)):
-            if not (here := states[at]):
-                continue
+            cost = states[at][0]
             for end, piece in self._arcs(text, at):
-                there = states[end]
-                for before, (cost, _, _) in here.items():
-                    if bpe:
-                        if not self._follows(before, piece):
-                            continue
-                        there.setdefault(piece, (cost, at, before))
-                    else:
-                        total = cost - self.scores[piece] if piece in self.scores else cost + self.penalty
-                        if "" not in there or total < there[""][0]:
-                            there[""] = (total, at, piece)
+                total = cost - self.scores[piece] if piece in self.scores else cost + self.penalty
+                if total < states[end][0]:
+                    states[end] = (total, at, piece)
         out: list[str] = []
         at = len(text)
-        if not states[at]:
+        while at:
+            _, at, piece = states[at]
+            out.append(piece)
+        return out[::-1]
+
+    def _bpe_path(self, text: str) -> list[str]:
+        """All finite paths weigh 0; by place and piece that ends there, one way back is kept. Arcs are walked in place, as most of the time goes here."""
+        n, root, known = len(text), self.trie, self.pairs.get
+        states: list[dict[str, tuple[int, str]] | None] = [None] * (n + 1)
+        states[0] = {"": (0, "")}
+        for at in range(n):
+            here = states[at]
+            if here is None:
+                continue
+            node, end, ends = root, at, []
+            while end < n and (node := node.get(text[end])) is not None:
+                end += 1
+                if (piece := node.get("")) is not None:
+                    ends.append((end, piece))
+            if not ends or ends[0][0] != at + 1:
+                ends.append((at + 1, text[at]))
+            for end, piece in ends:
+                for before in here:
+                    if (fits := known((before, piece))) is None:
+                        fits = self._follows(before, piece)
+                    if fits:
+                        if states[end] is None:
+                            states[end] = {piece: (at, before)}
+                        else:
+                            states[end].setdefault(piece, (at, before))
+        if states[n] is None:
             raise ValueError(f"no path for {text!r}")
-        if bpe:
-            piece = min(states[at])
-            while at:
-                out.append(piece)
-                _, at, piece = states[at][piece]
-        else:
-            while at:
-                _, at, piece = states[at][""]
-                out.append(piece)
+        out: list[str] = []
+        at, piece = n, min(states[n])
+        while at:
+            out.append(piece)
+            at, piece = states[at][piece]
         return out[::-1]
 
     def emit(self, pieces: list[str]) -> bytes:
@@ -201,7 +220,7 @@ class Model:
                 out.extend(self.bytes_[b] for b in piece.encode("utf-8", "replace"))
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return np.array(out, "<i4").tobytes()
+        return array("i", out).tobytes()
 
     def _ids(self, stretch: str) -> bytes:
         ids = self.emit(self.path(stretch))
