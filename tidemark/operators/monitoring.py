@@ -20,12 +20,12 @@ def outcome_trend(log: DataFrame) -> DataFrame:
     return log.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(*(count_if(o == x).alias(x.lower()) for x in ("ALLOW", "CHALLENGE", "DECLINE")), F.count("*").alias("total"))
 
 
-def bucket_stats(log: DataFrame, unit: str = "day") -> DataFrame:
+def bucket_stats(log: DataFrame, unit: str = "day", digits: int = 2) -> DataFrame:
     """By hour or day: counts, mean and nearest-rank percentiles of score and latency. A bucket's values are gathered, as exact ranks need."""
     pattern = "yyyy-MM-dd" if unit == "day" else "yyyy-MM-dd'T'HH:00"
     return log.groupBy(F.date_format("ts", pattern).alias("bucket")).agg(
-        F.count("*").alias("n"), half_even(F.avg("final_score"), 2).alias("avg_score"), nearest_rank(F.col("final_score"), 0.5).alias("p50"), nearest_rank(F.col("final_score"), 0.95).alias("p95"),
-        *(count_if(F.col("outcome") == x).alias(x.lower()) for x in ("ALLOW", "CHALLENGE", "DECLINE")), half_even(F.avg("processing_time_ms"), 2).alias("avg_ms"), nearest_rank(F.col("processing_time_ms"), 0.95).alias("p95_ms"),
+        F.count("*").alias("n"), half_even(F.avg("final_score"), digits).alias("avg_score"), nearest_rank(F.col("final_score"), 0.5).alias("p50"), nearest_rank(F.col("final_score"), 0.95).alias("p95"),
+        *(count_if(F.col("outcome") == x).alias(x.lower()) for x in ("ALLOW", "CHALLENGE", "DECLINE")), half_even(F.avg("processing_time_ms"), digits).alias("avg_ms"), nearest_rank(F.col("processing_time_ms"), 0.95).alias("p95_ms"),
     )
 
 
@@ -116,6 +116,17 @@ def feature_psi(reference: DataFrame, current: DataFrame, features: list[str]) -
     return out.select("feature", half_even(F.col("psi"), 6).alias("psi"), alert_level(F.col("psi")).alias("level"), half_even(F.col("ref_mean"), 6).alias("ref_mean"), half_even(F.col("cur_mean"), 6).alias("cur_mean"), half_even(F.col("cur_mean") - F.col("ref_mean"), 6).alias("drift"))
 
 
+def drift_causes(score: DataFrame, by_feature: DataFrame, current: DataFrame) -> DataFrame:
+    """(cause, severity): what of score_psi(), feature_psi() and the current log's declines is not OK."""
+    n = current.agg(F.count("*").alias("n"), count_if(F.col("outcome") == "DECLINE").alias("d"))
+    rate = F.col("d") / F.greatest("n", F.lit(1))
+    cause = F.when(F.col("n") == 0, "NO_RECENT_PREDICTIONS").when(F.col("d") == 0, "NO_DECLINES").otherwise("DECLINE_RATE")
+    severity = F.when((F.col("n") == 0) | (F.col("d") == 0), "WARNING").when(rate >= 0.35, "CRITICAL").when(rate > 0.20, "WARNING").otherwise("OK")
+    rows = score.select(F.lit("SCORE_DISTRIBUTION").alias("cause"), F.col("level").alias("severity"))
+    rows = rows.unionByName(by_feature.select(F.concat(F.lit("FEATURE:"), "feature").alias("cause"), F.col("level").alias("severity")))
+    return rows.unionByName(n.select(cause.alias("cause"), severity.alias("severity"))).where("severity <> 'OK'")
+
+
 def drift_report(score: DataFrame, by_feature: DataFrame, most: int = 10) -> DataFrame:
     """One row of score_psi() and feature_psi(): overall level, counts, the features that drift most."""
     top = F.slice(F.sort_array(F.collect_list(F.struct(F.col("psi"), F.col("feature"))), asc=False), 1, most)  # as many as there are features

@@ -24,9 +24,9 @@ def stats(k):
     return A.account_stats(k.account, k.txn, SINCE_30D)
 
 
-@query(f"SELECT account_id, {even('out_volume', 4)} AS out_volume, {even('avg_out', 4)} AS avg_out, structuring, out_30d, {even('in_volume', 4)} AS in_volume, {even('avg_in', 4)} AS avg_in, unique_senders, {even('avg_monthly_vol', 4)} AS avg_monthly_vol FROM stats", STATS)
+@query(f"SELECT account_id, {even('out_volume', 8)} AS out_volume, {even('avg_out', 8)} AS avg_out, structuring, out_30d, {even('in_volume', 8)} AS in_volume, {even('avg_in', 8)} AS avg_in, unique_senders, {even('avg_monthly_vol', 8)} AS avg_monthly_vol FROM stats", STATS)
 def account_stats(k):
-    return stats(k).withColumns({c: half_even(F.col(c), 4) for c in ("out_volume", "avg_out", "in_volume", "avg_in", "avg_monthly_vol")})
+    return stats(k).withColumns({c: half_even(F.col(c), 8) for c in ("out_volume", "avg_out", "in_volume", "avg_in", "avg_monthly_vol")})
 
 
 @query(
@@ -43,15 +43,15 @@ VECTORS = """vin AS (SELECT *, CASE WHEN in_volume = 0 THEN 1 ELSE in_volume END
 V = [f"v{n}" for n in range(8)]
 
 
-@query("SELECT account_id, " + ", ".join(f"{even(v, 5)} AS {v}" for v in V) + " FROM vectors", f"{STATS}, {VECTORS}")
+@query("SELECT account_id, " + ", ".join(f"{even(v, 8)} AS {v}" for v in V) + " FROM vectors", f"{STATS}, {VECTORS}")
 def account_vectors(k):
-    return A.account_vectors(stats(k)).select("account_id", *(half_even(F.col(v), 5).alias(v) for v in V))
+    return A.account_vectors(stats(k)).select("account_id", *(half_even(F.col(v), 8).alias(v) for v in V))
 
 
-@query("SELECT account_id, " + ", ".join(f"{even(f'({v} - (SELECT avg({v}) FROM vectors)) / coalesce(nullif((SELECT stddev_pop({v}) FROM vectors), 0), 1)', 4)} AS z_{v}" for v in V[:4]) + " FROM vectors", f"{STATS}, {VECTORS}")
+@query("SELECT account_id, " + ", ".join(f"{even(f'({v} - (SELECT avg({v}) FROM vectors)) / coalesce(nullif((SELECT stddev_pop({v}) FROM vectors), 0), 1)', 6)} AS z_{v}" for v in V[:4]) + " FROM vectors", f"{STATS}, {VECTORS}")
 def standard_scale(k):
     z = E.standard_scaled(A.account_vectors(stats(k)), ["account_id"], V[:4])
-    return z.select("account_id", *(half_even(F.col(f"z_{v}"), 4).alias(f"z_{v}") for v in V[:4]))
+    return z.select("account_id", *(half_even(F.col(f"z_{v}"), 6).alias(f"z_{v}") for v in V[:4]))
 
 
 @query()
@@ -127,12 +127,12 @@ def snapshot(k):
 
 
 @query(
-    f"""SELECT account_id, out_count, {even("out_volume", 4)} AS out_volume, in_count, {even("in_volume", 4)} AS in_volume, structuring_count, vpn_count, tor_count, unique_senders, unique_receivers, evaluation_count, decline_count,
-    {even("avg_score", 4)} AS avg_score, max_score, {even("turnover", 4)} AS turnover_ratio, account_age_days, is_dormant, is_pass_through, mule_score, mule_score >= 50 AS is_likely_mule FROM snap""",
+    f"""SELECT account_id, out_count, {even("out_volume", 6)} AS out_volume, in_count, {even("in_volume", 6)} AS in_volume, structuring_count, vpn_count, tor_count, unique_senders, unique_receivers, evaluation_count, decline_count,
+    {even("avg_score", 6)} AS avg_score, max_score, {even("turnover", 6)} AS turnover_ratio, account_age_days, is_dormant, is_pass_through, mule_score, mule_score >= 50 AS is_likely_mule FROM snap""",
     SNAP,
 )
 def feature_snapshot(k):
-    s = snapshot(k).withColumns({c: half_even(F.col(c), 4) for c in ("out_volume", "in_volume", "avg_score", "turnover_ratio")})
+    s = snapshot(k).withColumns({c: half_even(F.col(c), 6) for c in ("out_volume", "in_volume", "avg_score", "turnover_ratio")})
     names = ["account_id", "out_count", "out_volume", "in_count", "in_volume", "structuring_count", "vpn_count", "tor_count", "unique_senders", "unique_receivers", "evaluation_count", "decline_count", "avg_score", "max_score", "turnover_ratio", "account_age_days", "is_dormant", "is_pass_through", "mule_score", "is_likely_mule"]
     return s.select(names)
 
@@ -144,7 +144,7 @@ def feature_store_summary(k):
 
 
 TIERS = f"""{SNAP}, {STATS}, fr AS (SELECT sender_account_id AS id, count(*) FILTER (is_fraud) / count(*) AS rate FROM k_txn GROUP BY 1),
-    tiers AS (SELECT account_id, 1 AS tier, mule_score * 1.0 AS score FROM snap WHERE mule_score >= 40 OR tor_count > 0 UNION ALL SELECT account_id, 2, ({RULES}) * 1.0 FROM stats WHERE {RULES} >= 40 UNION ALL SELECT id, 3, CAST(round_even(rate * 100, 4) AS DOUBLE) FROM fr WHERE rate >= 0.30)"""
+    tiers AS (SELECT account_id, 1 AS tier, mule_score * 1.0 AS score FROM snap WHERE mule_score >= 40 OR tor_count > 0 UNION ALL SELECT account_id, 2, ({RULES}) * 1.0 FROM stats WHERE {RULES} >= 40 UNION ALL SELECT id, 3, CAST(round_even(rate * 100, 6) AS DOUBLE) FROM fr WHERE rate >= 0.30)"""
 
 
 @query("SELECT account_id, tier, CAST(score AS DOUBLE) AS score FROM (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY tier) = 1) ORDER BY tier, score DESC, account_id LIMIT 200", TIERS)
@@ -152,7 +152,7 @@ def high_risk_accounts(k):
     one = snapshot(k).where("is_likely_mule or mule_score >= 40 or has_tor_activity").select("account_id", F.lit(1).alias("tier"), F.col("mule_score").cast("double").alias("score"))
     two = A.rule_score(stats(k)).where("rule_score >= 40").select("account_id", F.lit(2).alias("tier"), F.col("rule_score").cast("double").alias("score"))
     g = k.txn.groupBy(F.col("sender_account_id").alias("account_id")).agg((count_if(F.col("is_fraud")) / F.count("*")).alias("rate")).where("rate >= 0.30")
-    rows = one.unionByName(two).unionByName(g.select("account_id", F.lit(3).alias("tier"), half_even(F.col("rate") * 100, 4).alias("score")))
+    rows = one.unionByName(two).unionByName(g.select("account_id", F.lit(3).alias("tier"), half_even(F.col("rate") * 100, 6).alias("score")))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("account_id").orderBy("tier"))).where("n = 1").drop("n")
     return first.orderBy("tier", F.desc("score"), "account_id").limit(200)
 

@@ -96,14 +96,14 @@ def neighbor_mean(k):
 
 
 @query(
-    f"""SELECT id, sender_account_id, count(*) OVER h AS n_1h, count(*) OVER d AS n_24h, count(*) OVER w AS n_7d, {even("coalesce(sum(amount) OVER d, 0)", 4)} AS sum_24h, {even("coalesce(sum(amount) OVER w, 0)", 4)} AS sum_7d,
+    f"""SELECT id, sender_account_id, count(*) OVER h AS n_1h, count(*) OVER d AS n_24h, count(*) OVER w AS n_7d, {even("coalesce(sum(amount) OVER d, 0)", 6)} AS sum_24h, {even("coalesce(sum(amount) OVER w, 0)", 6)} AS sum_7d,
     count(CASE WHEN amount >= 9000 AND amount < 10000 THEN 1 END) OVER d AS structuring_24h FROM k_txn WINDOW
     h AS (PARTITION BY sender_account_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING),
     d AS (PARTITION BY sender_account_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING),
     w AS (PARTITION BY sender_account_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"""
 )
 def velocity_features(k):
-    return velocity(k.txn).withColumns({"sum_24h": half_even(F.col("sum_24h"), 4), "sum_7d": half_even(F.col("sum_7d"), 4)})
+    return velocity(k.txn).withColumns({"sum_24h": half_even(F.col("sum_24h"), 6), "sum_7d": half_even(F.col("sum_7d"), 6)})
 
 
 NODE_STATS = """n_out AS (SELECT sender_account_id AS id, count(*) AS out_count, avg(amount_usd) AS avg_amount, sum(amount_usd) AS out_volume, count(*) FILTER (is_fraud) AS fraud_count, count(fraud_type) AS pattern_count,
@@ -122,9 +122,9 @@ def node_stats(k):
     return A.graph_node_stats(k.account, k.customer, k.txn)
 
 
-@query(f"SELECT account_id, country, out_count, in_count, {even('avg_amount', 4)} AS avg_amount, {even('out_volume', 4)} AS out_volume, {even('in_volume', 4)} AS in_volume, fraud_count, pattern_count, max_fraud_amount, unique_senders, unique_receivers, acct_type_enc, kyc_enc, risk_tier_enc, pep_flag, sanctions_flag FROM nodes", NODE_STATS)
+@query(f"SELECT account_id, country, out_count, in_count, {even('avg_amount', 8)} AS avg_amount, {even('out_volume', 8)} AS out_volume, {even('in_volume', 8)} AS in_volume, fraud_count, pattern_count, max_fraud_amount, unique_senders, unique_receivers, acct_type_enc, kyc_enc, risk_tier_enc, pep_flag, sanctions_flag FROM nodes", NODE_STATS)
 def graph_node_stats(k):
-    return node_stats(k).withColumns({c: half_even(F.col(c), 4) for c in ("avg_amount", "out_volume", "in_volume")})
+    return node_stats(k).withColumns({c: half_even(F.col(c), 8) for c in ("avg_amount", "out_volume", "in_volume")})
 
 
 @query(f"SELECT account_id, {even('fraud_ratio', 6)} AS fraud_ratio, {even('ptr', 6)} AS pass_through, unique_senders >= 5 AND ptr BETWEEN 0.7 AND 1.5 AND in_volume > 10000 AS is_structural, fraud_ratio >= 0.30 OR pattern_count >= 2 OR (unique_senders >= 5 AND ptr BETWEEN 0.7 AND 1.5 AND in_volume > 10000) AS is_mule FROM rated", NODE_STATS)

@@ -51,11 +51,11 @@ def txn_context_all(k):
 
 
 @query(
-    f"""SELECT count(*) AS total, {even("sum(amount)", 2)} AS volume, {even("avg(amount)", 4)} AS avg_amount, max(amount) AS max_amount, count(*) FILTER (is_fraud) AS fraud_count,
+    f"""SELECT count(*) AS total, {even("sum(amount)", 6)} AS volume, {even("avg(amount)", 6)} AS avg_amount, max(amount) AS max_amount, count(*) FILTER (is_fraud) AS fraud_count,
     {even("count(*) FILTER (is_fraud) / greatest(count(*), 1) * 100", 2)} AS fraud_pct, (SELECT count(*) FROM k_customer) AS customers, (SELECT count(*) FROM k_account) AS accounts FROM k_txn"""
 )
 def txn_stats(k):
-    t = k.txn.agg(F.count("*").alias("total"), half_even(F.sum("amount"), 2).alias("volume"), half_even(F.avg("amount"), 4).alias("avg_amount"), F.max("amount").alias("max_amount"), count_if(F.col("is_fraud")).alias("fraud_count"),
+    t = k.txn.agg(F.count("*").alias("total"), half_even(F.sum("amount"), 6).alias("volume"), half_even(F.avg("amount"), 6).alias("avg_amount"), F.max("amount").alias("max_amount"), count_if(F.col("is_fraud")).alias("fraud_count"),
         half_even(count_if(F.col("is_fraud")) / F.greatest(F.count("*"), F.lit(1)) * 100, 2).alias("fraud_pct"))
     return t.crossJoin(k.customer.agg(F.count("*").alias("customers"))).crossJoin(k.account.agg(F.count("*").alias("accounts")))  # one row each
 
@@ -80,9 +80,9 @@ def delta_since(k):
     return k.txn.where("ts > timestamp_ntz'2000-06-01 00:00:00'").select("id", "ts", "amount")
 
 
-@query(f"SELECT sender_account_id, count(*) AS n, {even('sum(amount)', 4)} AS total, count(*) FILTER (amount >= 9000 AND amount < 10000) AS structuring FROM k_txn WHERE ts >= timestamp'2000-01-01 00:00:00' GROUP BY 1")
+@query(f"SELECT sender_account_id, count(*) AS n, {even('sum(amount)', 6)} AS total, count(*) FILTER (amount >= 9000 AND amount < 10000) AS structuring FROM k_txn WHERE ts >= timestamp'2000-01-01 00:00:00' GROUP BY 1")
 def structuring_since(k):
-    return velocity_since(k.txn, "2000-01-01 00:00:00").withColumn("total", half_even(F.col("total"), 4))
+    return velocity_since(k.txn, "2000-01-01 00:00:00").withColumn("total", half_even(F.col("total"), 6))
 
 
 @query("SELECT a.id AS account_id FROM k_account a WHERE NOT EXISTS (SELECT 1 FROM k_txn t WHERE t.sender_account_id = a.id)")
@@ -146,13 +146,13 @@ def _sides(k: Catalog) -> DataFrame:
 
 
 @query(
-    f"""SELECT s.code, c.name, count(*) AS txn_count, {even("sum(amount)", 2)} AS volume, count(*) FILTER (is_fraud) AS fraud_count, coalesce(array_to_string(list_sort(list(DISTINCT fraud_type) FILTER (fraud_type IS NOT NULL)), ','), '') AS fraud_types,
+    f"""SELECT s.code, c.name, count(*) AS txn_count, {even("sum(amount)", 6)} AS volume, count(*) FILTER (is_fraud) AS fraud_count, coalesce(array_to_string(list_sort(list(DISTINCT fraud_type) FILTER (fraud_type IS NOT NULL)), ','), '') AS fraud_types,
     CASE WHEN c.fatf_risk = 'BLACKLIST' OR count(*) FILTER (is_fraud) / count(*) >= 0.25 THEN 'CRITICAL' WHEN c.fatf_risk = 'HIGH' OR count(*) FILTER (is_fraud) / count(*) >= 0.10 THEN 'HIGH'
     WHEN count(*) FILTER (is_fraud) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM sides s LEFT JOIN k_country c ON c.code = s.code GROUP BY s.code, c.name, c.fatf_risk""",
     SIDES,
 )
 def world_map(k):
-    g = _sides(k).groupBy("code").agg(F.count("*").alias("txn_count"), half_even(F.sum("amount"), 2).alias("volume"), count_if(F.col("is_fraud")).alias("fraud_count"), F.array_join(F.array_sort(F.collect_set("fraud_type")), ",").alias("fraud_types"))
+    g = _sides(k).groupBy("code").agg(F.count("*").alias("txn_count"), half_even(F.sum("amount"), 6).alias("volume"), count_if(F.col("is_fraud")).alias("fraud_count"), F.array_join(F.array_sort(F.collect_set("fraud_type")), ",").alias("fraud_types"))
     rate = F.col("fraud_count") / F.col("txn_count")
     level = F.when((F.col("fatf_risk") == "BLACKLIST") | (rate >= 0.25), "CRITICAL").when((F.col("fatf_risk") == "HIGH") | (rate >= 0.10), "HIGH").when(F.col("fraud_count") > 0, "MEDIUM").otherwise("LOW")
     return g.join(k.country, "code", "left").select("code", "name", "txn_count", "volume", "fraud_count", "fraud_types", level.alias("risk_level"))
