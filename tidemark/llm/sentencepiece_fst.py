@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Compiled once for a model: the normaliser (blank to word mark, dummy prefix), the pieces (a trie whose final arcs emit a piece) and the
+Compiled once for a model: the normaliser (blank to word mark, dummy prefix), the pieces (an automaton whose final states emit them) and the
 byte fallback (an arc for each character that is no piece). An input is composed with these; the shortest path in the tropical semiring
 is its encoding. A unigram model weighs an arc by its piece's negative score. In a BPE model a sequence of pieces is the encoding just if
 merging any two neighbours' characters gives these two again, so an arc that follows a piece weighs 0 or infinity by that test.
@@ -16,6 +16,7 @@ import zlib
 from array import array
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +65,7 @@ class Model:
     kind: int = UNIGRAM
     dummy_prefix: bool = True
     squeeze_blanks: bool = True
-    trie: dict = field(default_factory=dict)
+    arcs: ahocorasick.Automaton = field(default_factory=ahocorasick.Automaton)
     scores: dict[str, float] = field(default_factory=dict)
     ids: dict[str, int] = field(default_factory=dict)
     bytes_: dict[int, int] = field(default_factory=dict)
@@ -99,16 +100,16 @@ class Model:
             elif kind == NORMAL:
                 if "\n" in text or MARK in text.lstrip(MARK):
                     raise ValueError("pieces over word or line ends are not supported")
-                node = self.trie
-                for c in text:
-                    node = node.setdefault(c, {})
-                node[""] = text
+                if len(text) > 1:
+                    self.arcs.add_word(text, text)
                 self.scores[text], self.ids[text] = score, n
                 self.surface.append(text.replace(MARK, " ").encode())
             elif kind == USER_DEFINED:
                 raise ValueError("user-defined pieces are not supported")
             else:
                 self.surface.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
+        self.arcs.add_word(MARK * 2 + "\n", "")  # in no stretch; an automaton needs a word
+        self.arcs.make_automaton()
         self.penalty = -min(self.scores.values(), default=0.0) + _UNKNOWN_PENALTY
         self.pairs: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, bytes] = {}
@@ -147,71 +148,47 @@ class Model:
 
     # composition and shortest path
 
-    def _arcs(self, text: str, at: int):
-        """(end, piece) of all pieces that start at a place; a character that is no piece is its own arc."""
-        node, end, single = self.trie, at, False
-        while end < len(text) and (node := node.get(text[end])) is not None:
-            end += 1
-            if "" in node:
-                single |= end == at + 1
-                yield end, node[""]
-        if not single:
-            yield at + 1, text[at]
-
     def path(self, text: str) -> list[str]:
-        """Pieces of the shortest path through the composition with text. A state is a place and, in a BPE model, the piece that ends there."""
-        if self.kind == BPE:
-            return self._bpe_path(text)
-        states: list[tuple[float, int, str]] = [(0.0, 0, ""), *[(float("inf"), 0, "")] * len(text)]
-        for at in range(len(text)):
-            cost = states[at][0]
-            for end, piece in self._arcs(text, at):
-                total = cost - self.scores[piece] if piece in self.scores else cost + self.penalty
-                if total < states[end][0]:
-                    states[end] = (total, at, piece)
+        """Pieces of the shortest path through the composition with text. A place has one best state, so each keeps the piece that ends there."""
+        ends = self._bpe_ends(text) if self.kind == BPE else self._unigram_ends(text)
         out: list[str] = []
         at = len(text)
         while at:
-            _, at, piece = states[at]
+            piece = ends[at - 1]
             out.append(piece)
+            at -= len(piece)
         return out[::-1]
 
-    def _bpe_path(self, text: str) -> list[str]:
-        """All finite paths weigh 0; by place and piece that ends there, one way back is kept. Arcs are walked in place, as most of the time goes here."""
-        n, root, known = len(text), self.trie, self.pairs.get
-        states: list[dict[str, tuple[int, str]] | None] = [None] * (n + 1)
-        states[0] = {"": (0, "")}
-        for at in range(n):
-            here = states[at]
-            if here is None:
-                continue
-            node, end, ends = root, at, []
-            while end < n and (node := node.get(text[end])) is not None:
-                end += 1
-                if (piece := node.get("")) is not None:
-                    ends.append((end, piece))
-            if not ends or ends[0][0] != at + 1:
-                ends.append((at + 1, text[at]))
-            for end, piece in ends:
-                for before in here:
-                    if (fits := known((before, piece))) is None:
-                        fits = self._follows(before, piece)
-                    if fits:
-                        if states[end] is None:
-                            states[end] = {piece: (at, before)}
-                        else:
-                            states[end].setdefault(piece, (at, before))
-        if states[n] is None:
-            raise ValueError(f"no path for {text!r}")
-        out: list[str] = []
-        at, piece = n, min(states[n])
-        while at:
-            out.append(piece)
-            at, piece = states[at][piece]
-        return out[::-1]
+    def _unigram_ends(self, text: str) -> list[str]:
+        arcs: list[list[str]] = [[] for _ in text]
+        for end, piece in self.arcs.iter(text):
+            arcs[end].append(piece)
+        costs, ends = [0.0], []
+        for at, char in enumerate(text):
+            total, piece = min(((costs[at + 1 - len(p)] - self.scores.get(p, -self.penalty), p) for p in (*arcs[at], char)), key=lambda x: x[0])
+            costs.append(total)
+            ends.append(piece)
+        return ends
+
+    def _bpe_ends(self, text: str) -> list[str]:
+        """Each prefix has one encoding, so just one arc into a place has a finite weight; where no longer piece fits, it is the character's own."""
+        ends, done, known = list(text), -1, self.pairs.get
+        for end, piece in self.arcs.iter(text):
+            if end != done:
+                start = end - len(piece)
+                before = ends[start] if start >= 0 else ""
+                if (fits := known((before, piece))) is None:
+                    fits = self._follows(before, piece)
+                if fits:
+                    ends[end], done = piece, end
+        return ends
 
     def emit(self, pieces: list[str]) -> bytes:
         """Ids of a path as little-endian 32-bit integers."""
+        try:
+            return array("i", map(self.ids.__getitem__, pieces)).tobytes()
+        except KeyError:  # a character is no piece
+            pass
         out: list[int] = []
         for piece in pieces:
             if piece in self.ids:
