@@ -59,3 +59,35 @@ def test_velocity_leaves_out_its_own_time(spark):
     rows = [(n, 1, None, at + datetime.timedelta(seconds=s), 10.0) for n, s in enumerate(offsets)]
     got = {r["id"]: (r["n_1h"], r["n_24h"], r["n_7d"]) for r in velocity(spark.createDataFrame(rows, "id long, sender_account_id long, receiver_account_id long, ts timestamp_ntz, amount double")).collect()}
     assert got == {0: (0, 0, 0), 1: (0, 0, 0), 2: (2, 2, 2), 3: (1, 3, 3), 4: (0, 4, 4), 5: (0, 0, 5)}
+
+
+def test_score_on_arrival(spark, tmp_path):
+    rows = spark.createDataFrame([(n, 250.0 * n) for n in range(8)], "id long, amount double")
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    limits = spark.createDataFrame([(0, 1000.0)], "k int, most double")
+
+    def score(batch):
+        return batch.join(limits, batch["amount"] > limits["most"], "left").selectExpr("id", "if(most is null, 'ALLOW', 'CHALLENGE') AS outcome")
+
+    for _ in range(2):  # the second run finds nothing new
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+        jobs.score_on_arrival(stream, score, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    found = {r["id"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {n: "CHALLENGE" if n > 4 else "ALLOW" for n in range(8)}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_streaming_velocity_is_the_batch_one(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, n % 3, None, at + datetime.timedelta(minutes=37 * n * (1 + n % 5 // 4)), float(n)) for n in range(120)]
+    rows.sort(key=lambda r: r[3])
+    schema = "id long, sender_account_id long, receiver_account_id long, ts timestamp, amount double"
+    for k in range(3):  # a batch holds later times than those before it
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = jobs.streaming_velocity(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        out = query.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).outputMode("append").trigger(availableNow=True).start()
+        out.awaitTermination()
+    columns = ["id", "sender_account_id", "n_1h", "n_24h", "n_7d", "sum_24h", "sum_7d"]
+    want = velocity(spark.createDataFrame(rows, schema)).select(columns)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(columns).collect())) == sorted(map(tuple, want.collect()))

@@ -113,6 +113,50 @@ def mule_patterns(stats: DataFrame) -> DataFrame:
     ).alias("patterns"))
 
 
+# Risk of an account's country as explanations show it; 0 for all others.
+EXPLAINED_COUNTRY_RISK = {
+    "IR": 1.0, "KP": 1.0, "SY": 1.0, "RU": 0.8, "MM": 0.8, "VE": 0.8, "NG": 0.7, "PK": 0.7, "CN": 0.3, "IN": 0.3, "AE": 0.4, "SA": 0.4, "TR": 0.4, "ZA": 0.4, "BR": 0.4, "MX": 0.4, "KY": 0.6, "PA": 0.5,
+}
+
+
+def mule_explanation(stats: DataFrame) -> DataFrame:
+    """(account_id, place, feature, value, triggered, weight_pct, reason): nine rows an account, from graph_node_stats().
+
+    Shares are in percent; a flag's value is 1 or 0. reason is the first rule that makes the account a mule, or NEIGHBOURS where none does.
+    """
+    c, ptr = F.col, _pass_through()
+    codes = F.create_map(*(F.lit(x) for kv in EXPLAINED_COUNTRY_RISK.items() for x in kv))
+    fraud, many = ratio(c("fraud_count"), c("out_count")), c("unique_senders") >= 5
+    funnel = F.when(c("out_count") > 0, 1 - ratio(c("unique_receivers"), c("out_count"))).otherwise(0.0)
+    kept = F.when(c("in_volume") > 0, (c("in_volume") - c("out_volume")) / F.greatest(c("in_volume"), F.lit(1e-9))).otherwise(1.0)
+    country = F.coalesce(codes[c("country")], F.lit(0.0))
+    listed = c("pep_flag") | c("sanctions_flag")
+    shown = [
+        ("HIGH_FRAUD_RATIO", fraud * 100, fraud >= 0.30, 22), ("FRAUD_PATTERN_MATCH", c("pattern_count"), c("pattern_count") >= 2, 18), ("FAN_IN_COLLECTION", c("unique_senders"), many, 18),
+        ("PASS_THROUGH_RELAY", ptr, ptr.between(0.7, 1.5) & (c("in_volume") > 1000), 16), ("FUNNEL_AGGREGATION", funnel * 100, (funnel >= 0.7) & many, 12), ("ZERO_RETENTION", kept * 100, (kept < 0.15) & (c("in_volume") > 5000), 8),
+        ("HIGH_VOLUME", c("out_volume"), c("out_volume") > 100_000, 4), ("HIGH_RISK_JURISDICTION", country * 100, country >= 0.3, 1), ("PEP_SANCTIONS", flag(listed), listed, 1),
+    ]
+    structural = many & ptr.between(0.7, 1.5) & (c("in_volume") > 10_000)
+    reason = F.when(fraud >= 0.30, "HIGH_FRAUD_RATIO").when(c("pattern_count") >= 2, "FRAUD_PATTERN_MATCH").when(structural, "STRUCTURAL_RELAY").otherwise("NEIGHBOURS")
+    rows = F.array(*(F.struct(F.lit(n).alias("place"), F.lit(name).alias("feature"), value.cast("double").alias("value"), hit.alias("triggered"), F.lit(w).alias("weight_pct")) for n, (name, value, hit, w) in enumerate(shown)))
+    return stats.select("account_id", reason.alias("reason"), F.inline(rows)).select("account_id", "place", "feature", "value", "triggered", "weight_pct", "reason")
+
+
+def graph_summary(account: DataFrame, graph_scores: DataFrame, neighbour_scores: DataFrame) -> DataFrame:
+    """One row (total, scored, suspects, high_confidence, flagged_by_both, coverage_pct).
+
+    graph_scores: (account_id, probability, score), a suspect from probability 0.5; neighbour_scores: (account_id, is_mule_suspect).
+    """
+    ids = account.select(F.col("id").alias("account_id"))
+    all_ = ids.join(graph_scores.select("account_id", "probability", "score"), "account_id", "left").join(neighbour_scores.select("account_id", "is_mule_suspect"), "account_id", "left")
+    suspect = F.col("probability") >= 0.5
+    scored = F.count("score")
+    return all_.agg(
+        F.count("*").alias("total"), scored.alias("scored"), F.count(F.when(suspect, 1)).alias("suspects"), F.count(F.when(F.col("score") >= 80, 1)).alias("high_confidence"),
+        F.count(F.when(suspect & F.col("is_mule_suspect"), 1)).alias("flagged_by_both"), half_even(scored / F.greatest(F.count("*"), F.lit(1)) * 100, 1).alias("coverage_pct"),
+    )
+
+
 def feature_snapshot(account: DataFrame, customer: DataFrame, txn: DataFrame, ip: DataFrame, log: DataFrame, as_of: str, since: str) -> DataFrame:
     """30-day snapshot by account with its composite mule score; log (transaction_id, final_score, outcome) gives past evaluations."""
     now, start = (F.lit(x).cast("timestamp_ntz") for x in (as_of, since))
@@ -157,4 +201,4 @@ def customer_mule_indicators(account: DataFrame, txn: DataFrame, as_of: str, sin
     return all_.select("customer_id", half_even(F.col("inbound"), 2).alias("inbound"), half_even(F.col("outbound"), 2).alias("outbound"), half_even(turnover, 3).alias("turnover_ratio"), passes.alias("is_pass_through"), "unique_senders", rapid.alias("rapid_disbursement"), "dormant_accounts", "structuring", score.alias("mule_score"), (score >= 50).alias("is_likely_mule"))
 
 
-__all__ = ["account_stats", "account_vectors", "customer_mule_indicators", "feature_snapshot", "graph_node_features", "graph_node_stats", "mule_labels", "mule_patterns", "rule_score", "total"]
+__all__ = ["account_stats", "account_vectors", "customer_mule_indicators", "feature_snapshot", "graph_node_features", "graph_node_stats", "graph_summary", "mule_explanation", "mule_labels", "mule_patterns", "rule_score", "total"]

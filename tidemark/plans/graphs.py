@@ -160,6 +160,24 @@ def mule_patterns(k):
     return A.mule_patterns(node_stats(k)).withColumn("patterns", F.array_join("patterns", ","))
 
 
+_SHOWN = [
+    ("HIGH_FRAUD_RATIO", "fraud_ratio * 100", "fraud_ratio >= 0.30", 22), ("FRAUD_PATTERN_MATCH", "pattern_count", "pattern_count >= 2", 18), ("FAN_IN_COLLECTION", "unique_senders", "unique_senders >= 5", 18),
+    ("PASS_THROUGH_RELAY", "ptr", "ptr BETWEEN 0.7 AND 1.5 AND in_volume > 1000", 16), ("FUNNEL_AGGREGATION", "funnel * 100", "funnel >= 0.7 AND unique_senders >= 5", 12),
+    ("ZERO_RETENTION", "CASE WHEN in_volume > 0 THEN (in_volume - out_volume) / in_volume ELSE 1 END * 100", "in_volume > 5000 AND (in_volume - out_volume) / in_volume < 0.15", 8), ("HIGH_VOLUME", "out_volume", "out_volume > 100000", 4),
+    ("HIGH_RISK_JURISDICTION", "country_risk * 100", "country_risk >= 0.3", 1), ("PEP_SANCTIONS", "CASE WHEN pep_flag OR sanctions_flag THEN 1 ELSE 0 END", "pep_flag OR sanctions_flag", 1),
+]
+_COUNTRY = "CASE country " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in A.EXPLAINED_COUNTRY_RISK.items()) + " ELSE 0.0::DOUBLE END"
+
+
+@query(
+    " UNION ALL ".join(f"SELECT account_id, {n} AS place, '{name}' AS feature, {even(value, 6)} AS value, {hit} AS triggered, {w} AS weight_pct, reason FROM explained" for n, (name, value, hit, w) in enumerate(_SHOWN)),
+    f"""{NODE_STATS}, explained AS (SELECT *, {_COUNTRY} AS country_risk, CASE WHEN fraud_ratio >= 0.30 THEN 'HIGH_FRAUD_RATIO' WHEN pattern_count >= 2 THEN 'FRAUD_PATTERN_MATCH'
+    WHEN unique_senders >= 5 AND ptr BETWEEN 0.7 AND 1.5 AND in_volume > 10000 THEN 'STRUCTURAL_RELAY' ELSE 'NEIGHBOURS' END AS reason FROM rated)""",
+)
+def mule_explanation(k):
+    return A.mule_explanation(node_stats(k)).withColumn("value", half_even(F.col("value"), 6))
+
+
 @query(
     """SELECT account_id, id, direction, ts FROM (SELECT *, row_number() OVER (PARTITION BY account_id, direction ORDER BY ts DESC, id) AS n FROM (SELECT sender_account_id AS account_id, id, 'OUT' AS direction, ts FROM k_txn WHERE is_fraud
     UNION ALL SELECT receiver_account_id, id, 'IN', ts FROM k_txn WHERE is_fraud AND receiver_account_id IS NOT NULL)) WHERE n <= CASE direction WHEN 'OUT' THEN 50 ELSE 20 END"""

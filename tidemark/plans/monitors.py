@@ -228,6 +228,14 @@ def graph_mule_scores(k):
     return sage_scores(nodes, G.induced_subgraph(nodes, k.txn), [f"f{n}" for n in range(20)], "is_mule")
 
 
+@query()
+def graph_summary(k):
+    from tidemark.operators import accounts as A
+    from tidemark.plans.accounts import knn_anomaly
+
+    return A.graph_summary(k.account, graph_mule_scores(k), knn_anomaly(k))
+
+
 @query(
     "SELECT CAST(round_even(avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) AS DOUBLE) AS agreement_pct, count(*) AS n FROM (SELECT coalesce(final_score >= 400, false) AS a, coalesce(is_fraud_ground_truth, false) AS b FROM k_log ORDER BY final_score DESC, id LIMIT 200)"
 )
