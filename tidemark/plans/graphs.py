@@ -69,6 +69,11 @@ def shared_device_network(k):
     return G.shared_device_network(k.txn, k.account).where("customer_id < 100").withColumn("devices", F.array_join(F.transform("devices", lambda x: x.cast("string")), ","))
 
 
+@query("SELECT a.customer_id, b.customer_id AS other_id, array_to_string(list_sort(list(DISTINCT a.device_id)), ',') AS devices FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id GROUP BY 1, 2", USES)
+def shared_device_network_all(k):
+    return G.shared_device_network(k.txn, k.account).withColumn("devices", F.array_join(F.transform("devices", lambda x: x.cast("string")), ","))
+
+
 @query(
     """SELECT a.customer_id, b.customer_id AS other_id, 'SHARED_DEVICE' AS kind FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id WHERE a.customer_id = 42
     UNION SELECT s.customer_id, r.customer_id, 'COUNTERPARTY' FROM k_txn t JOIN k_account s ON s.id = t.sender_account_id JOIN k_account r ON r.id = t.receiver_account_id WHERE s.customer_id = 42 AND r.customer_id <> 42""",
@@ -95,6 +100,23 @@ def neighbor_mean(k):
     return G.neighbour_mean(_nodes(k), G.induced_subgraph(_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 6))
 
 
+WHOLE = f"{EDGES}, graph AS (SELECT src, dst, count(*) AS weight FROM (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst) WHERE src IN (SELECT id FROM k_account) AND dst IN (SELECT id FROM k_account) GROUP BY 1, 2)"
+
+
+def _all_nodes(k):
+    return k.account.select(F.col("id").alias("account_id"), F.col("balance").alias("h"))
+
+
+@query("SELECT src, dst, weight FROM graph", WHOLE)
+def induced_subgraph_all(k):
+    return G.induced_subgraph(_all_nodes(k), k.txn)
+
+
+@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 6)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst GROUP BY 1", WHOLE)
+def neighbor_mean_all(k):
+    return G.neighbour_mean(_all_nodes(k), G.induced_subgraph(_all_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 6))
+
+
 @query(
     f"""SELECT id, sender_account_id, count(*) OVER h AS n_1h, count(*) OVER d AS n_24h, count(*) OVER w AS n_7d, {even("coalesce(sum(amount) OVER d, 0)", 6)} AS sum_24h, {even("coalesce(sum(amount) OVER w, 0)", 6)} AS sum_7d,
     count(CASE WHEN amount >= 9000 AND amount < 10000 THEN 1 END) OVER d AS structuring_24h FROM k_txn WINDOW
