@@ -64,45 +64,45 @@ def simhash(docs: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:
 
 
 def line_dedup(texts: list[str | None]) -> dict[str, tuple[str, int]]:
-    """Text -> (text without its recurring lines, number of lines dropped)."""
-    distinct = {t for t in texts if t is not None}
-    lines: dict[str, list[tuple[int, str]]] = {}
-    for t in distinct:
+    """Text -> (text without its recurring lines, number of lines dropped).
+
+    A line of four tokens or more recurs if three texts hold lines of its leaf (as many tokens, the same first three) of which each agrees with one and
+    the same line in 0.7 of the places, the line itself among them. A shorter one with a letter recurs if it is in ten texts and in more than words by
+    their shares would put together.
+    """
+    lines: dict[str, list[str]] = {}
+    for t in {t for t in texts if t is not None}:
         masked = re.sub(r"[^ \t\n\x0b\f\r0-9]*[0-9][^ \t\n\x0b\f\r]*", "<*>", re.sub(r"[ \t\r\x0b\f]+", " ", t))
-        own = [x.strip(" ") for x in masked.split("\n")]
-        lines[t] = [(len(x.split(" ")) if x else 0, x) for x in own]
-    leaves: dict[tuple, dict[str, set]] = defaultdict(lambda: defaultdict(set))
+        lines[t] = [x.strip(" ") for x in masked.split("\n")]
+    size = lambda x: len(x.split(" ")) if x else 0
+    holders: dict[str, set] = defaultdict(set)
     for t, own in lines.items():
-        for n, x in own:
-            if n >= 4:
-                leaves[n, tuple(x.split(" ")[:3])][x].add(t)
+        for x in own:
+            holders[x].add(t)
+    leaves: dict[tuple, list[list[str]]] = defaultdict(list)
+    for x in holders:
+        if size(x) >= 4:
+            leaves[size(x), *x.split(" ")[:3]].append(x.split(" "))
     recurring = set()
-    for (n, _), by in leaves.items():
-        if len(set().union(*by.values())) < 3:
-            continue
-        template = None
-        if len(by) > 1:
-            template = []
-            for place in range(n):
-                votes = Counter()
-                for x, ts in by.items():
-                    votes[spark_hash(x.split(" ")[place])] += len(ts)
-                template.append(max(votes, key=lambda h: (votes[h], h)))
-        groups: dict[object, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-        for x, ts in by.items():
-            fits = template and sum(spark_hash(w) == h for w, h in zip(x.split(" "), template, strict=True)) >= 0.7 * n
-            g = groups["leaf" if fits else x]
-            g[0].add(x)
-            g[1].update(ts)
-        for xs, ts in groups.values():
-            if len(ts) >= 3:
-                recurring |= xs
+    for members in leaves.values():
+        for a in members:
+            family = [" ".join(b) for b in members if sum(map(str.__eq__, a, b)) >= ceil(0.7 * len(a))]
+            if len(set().union(*(holders[x] for x in family))) >= 3:
+                recurring.update(family)
+    words = lambda x: [w for w in re.split("[ \\n.,;:!?\"'()\\[\\]]", x.lower()) if w]
+    all_rows = [x for t in texts if t is not None for x in lines[t]]
+    total, uses = sum(map(size, all_rows)), Counter(w for x in all_rows for w in words(x))
+    of_length = Counter(size(x) for x, ts in holders.items() for _ in ts)
+    for x, ts in holders.items():
+        if 0 < size(x) < 4 and len(ts) >= 10 and any(c.isalpha() for c in x):
+            chance = of_length[size(x)] * 5 * 50.0 ** (size(x) - 1)
+            for w in words(x):
+                chance *= uses[w] / total
+            if len(ts) >= chance:
+                recurring.add(x)
     out = {}
     for t, own in lines.items():
-        total = sum(n for n, _ in own if n >= 4)
-        gone = [k for k, (n, x) in enumerate(own) if n >= 4 and x in recurring]
-        if sum(own[k][0] for k in gone) > 0.8 * total:
-            gone = []
+        gone = {k for k, x in enumerate(own) if x in recurring}
         out[t] = ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)) if gone else (t, 0)
     return out
 
