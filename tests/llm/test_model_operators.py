@@ -178,6 +178,37 @@ def test_planted_neighbours(spark, dim):
     assert share >= 0.9 and n > 1_000_000
 
 
+@pytest.mark.parametrize("dim", [64, 256, 768, 1024, 1536])
+@pytest.mark.parametrize("rows", [2_000, 1_000_000])
+def test_recall_just_above_the_bound(dim, rows):
+    rng = np.random.default_rng(dim + 1)
+    x, y = rng.normal(size=(2, 400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * (x * y).sum(1, keepdims=True)
+    cos = rng.uniform(0.9, 0.92, (400, 1))
+    y = cos * x + np.sqrt(1 - cos * cos) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables, hashes = crosspolytope.plan(dim, rows)
+    assert crosspolytope.meet(crosspolytope.codes(x, tables, hashes), crosspolytope.codes(y, tables, hashes)).any(1).mean() >= 0.9
+
+
+def test_rows_count_whatever_their_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.99, 0.01, 0.0]
+    rows = [(1, a), (1, b), (2, c), (None, [0.0, 0.01, 1.0]), (3, [0.0, 0.0, 1.0]), (4, [0.01, 0.0, 1.0]), (None, [-1.0, -1.0, 0.0]), (None, [-1.0, -1.01, 0.0])]
+    out = crosspolytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in out), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (0, 2, 3, False), (3, 2, 3, True), (4, 2, 3, False), (0, 1, 0, True), (0, 1, 0, True)], key=str)
+
+
+def test_blocks_of_a_bucket_give_what_the_bucket_gives(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=8) + s * rng.normal(size=(150, 8)) for s in (0.02, 0.2, 0.5)]).astype(np.float32)
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, crosspolytope.near_vectors(df).collect()))
+    monkeypatch.setattr(crosspolytope, "BLOCK", 20)
+    assert sorted(map(tuple, crosspolytope.near_vectors(df).collect())) == whole
+    check_vectors({r[0]: dict(zip(("vec_id", "n_links", "component_id", "kept"), r, strict=True)) for r in whole}, list(range(len(x))), x, 0.9)
+
+
 def test_embedding_edges(spark):
     inf, nan = float("inf"), float("nan")
     v = [0.5, -1.0, 2.0]
