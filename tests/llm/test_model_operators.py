@@ -69,6 +69,29 @@ def test_random_pieces_as_the_library(processor):
         assert m.encode(text).tolist() == processor.encode(text), text
 
 
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("dummy", [False, True])
+@pytest.mark.parametrize("extra", [[], ["a▁b", "▁▁", "b\nc"]])
+def test_cut_texts_have_the_paths_of_whole_ones(squeeze, dummy, extra):
+    """Also for pieces over words and lines, which forbid cuts; the normaliser's states give what rewriting the text gives."""
+    rng = random.Random(6)
+    pieces = [("<unk>", 0.0, sentencepiece_fst.UNKNOWN)] + [(f"<0x{b:02X}>", 0.0, sentencepiece_fst.BYTE) for b in range(256)]
+    texts = ["▁", "a", "b", "c", "▁a", "ab", "▁ab", "bc", "▁▁", "▁▁▁a", *extra]
+    pieces += [(t, -float(k), 1) for k, t in enumerate(dict.fromkeys(texts))]
+    for kind in (sentencepiece_fst.BPE, sentencepiece_fst.UNIGRAM):
+        m = sentencepiece_fst.Model(pieces, kind, dummy, squeeze).compile()
+        for _ in range(400):
+            text = "".join(rng.choice("abc  \n▁é\x1f") for _ in range(rng.randrange(12)))
+            norm = " ".join(text.split(" ")) if not squeeze else " ".join(x for x in text.split(" ") if x)
+            norm = (("▁" if dummy else "") + norm.replace(" ", "▁")) if norm else ""
+            assert m.normalise(text) == norm
+            ids, merged = m.encode(text).tolist(), m._merged(norm)
+            if kind == sentencepiece_fst.BPE:
+                assert ids == [i for p in merged for i in ([m.ids[p]] if p in m.ids else [m.bytes_[b] for b in p.encode()])], repr(text)
+            cost = lambda ids: sum(-m.pieces[i][1] if i > 256 else 0.0 for i in ids)
+            assert kind == sentencepiece_fst.BPE or cost(ids) <= cost([m.ids[p] for p in merged if p in m.ids]) + 1e-9 + 100 * sum(p not in m.ids for p in merged)
+
+
 def test_unigram_path_is_the_best_of_all():
     rng = random.Random(5)
     pieces = [("<unk>", 0.0, sentencepiece_fst.UNKNOWN), ("▁", -3.0, 1)]

@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-Compiled once for a model: the normaliser (blank to word mark, dummy prefix), the pieces (an automaton whose final states emit them) and the
-byte fallback (an arc for each character that is no piece). An input is composed with these; the shortest path in the tropical semiring
-is its encoding. A unigram model weighs an arc by its piece's negative score. In a BPE model a sequence of pieces is the encoding just if
-merging any two neighbours' characters gives these two again, so an arc that follows a piece weighs 0 or infinity by that test.
-
-No piece holds a word mark after another character, nor a newline. Texts are cut there, and the paths of cut stretches are kept.
+Compiled once for a model are three transducers: the normaliser, whose two states tell whether a blank is pending and which writes word marks for
+blanks; the pieces, an automaton whose final states emit them; and the byte fallback, an arc from each UTF-8 byte to its piece. An input is composed
+with these to a lattice of arcs between places, and the shortest path through it in the tropical semiring is its encoding. A unigram model weighs an
+arc by its piece's negative score, the fallback by a penalty. In a BPE model a sequence of pieces is the encoding just if merging any two
+neighbours' characters gives these two again, so an arc that follows a piece weighs 0 or infinity by that test.
+
+Where no piece holds a blank's mark after another character, nor a newline, all paths pass through the place before a blank or newline in one
+state. Texts are cut there, and the paths of cut stretches are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 KEPT_STRETCHES, KEPT_PAIRS, LONG = 400_000, 400_000, 64
 _UNKNOWN_PENALTY = 10.0
-_INSIDE_RUN = re.compile(f"(?<!{MARK}){MARK}")
+#: States of the normaliser: inside a text, after a blank whose mark is pending, at the start where none is.
+INSIDE, PENDING, START = range(3)
+#: Stands before each blank and newline at which a text is cut; texts that hold it are not cut.
+CUT = "\x1f"
+_RUN_START = re.compile(f"(?<![ {MARK}])[ {MARK}]")
 
 
 def _fields(data: bytes):
@@ -92,14 +98,20 @@ class Model:
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
         self.unknown = next((n for n, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
-        self.surface = []
+        self.surface, self.cuts = [], True
+        # (state, blank?) -> (what goes before the character or for it, whether the character is written, next state)
+        pending = PENDING if self.squeeze_blanks else INSIDE
+        self.normaliser = {
+            (INSIDE, True): ("" if self.squeeze_blanks else MARK, False, pending), (PENDING, True): ("" if self.squeeze_blanks else MARK * 2, False, pending), (START, True): ("" if self.squeeze_blanks else MARK, False, START if self.squeeze_blanks else INSIDE),
+            (INSIDE, False): ("", True, INSIDE), (PENDING, False): (MARK, True, INSIDE), (START, False): ("", True, INSIDE),
+        }
         for n, (text, score, kind) in enumerate(self.pieces):
             if kind == BYTE:
                 self.bytes_[int(text[3:5], 16)] = n
                 self.surface.append(bytes([int(text[3:5], 16)]))
             elif kind == NORMAL:
                 if "\n" in text or MARK in text.lstrip(MARK):
-                    raise ValueError("pieces over word or line ends are not supported")
+                    self.cuts = False
                 if len(text) > 1:
                     self.arcs.add_word(text, text)
                 self.scores[text], self.ids[text] = score, n
@@ -108,21 +120,38 @@ class Model:
                 raise ValueError("user-defined pieces are not supported")
             else:
                 self.surface.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
-        self.arcs.add_word(MARK * 2 + "\n", "")  # in no stretch; an automaton needs a word
+        if not len(self.arcs):
+            self.arcs.add_word(CUT * 9, CUT * 9)  # an automaton needs a word; this one's arc weighs no less than others over it
         self.arcs.make_automaton()
         self.penalty = -min(self.scores.values(), default=0.0) + _UNKNOWN_PENALTY
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
         self.paths: dict[str, bytes] = {}
         return self
 
     # the normaliser
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze_blanks:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        return (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+    def start(self) -> int:
+        return PENDING if self.dummy_prefix else START
+
+    def normalise(self, text: str, state: int | None = None) -> str:
+        """What the normaliser writes for text, read from a state; a mark still pending at the end is not written."""
+        if state is None:
+            if not text:
+                return ""
+            state = self.start()
+        if state == INSIDE and " " not in text:
+            return text
+        out, move = [], self.normaliser
+        for run in _RUNS.findall(text):  # an arc is taken by a run of blanks, one by one, or by a run of others, where only the first can change state
+            blank = run[0] == " "
+            if not blank:
+                before, _, state = move[state, False]
+                out.append(before + run)
+                continue
+            for _ in run:
+                written, _, state = move[state, True]
+                out.append(written)
+        return "".join(out)
 
     # weights
 
@@ -137,19 +166,18 @@ class Model:
             parts[n : n + 2] = [parts[n] + parts[n + 1]]
         return parts
 
-    def _follows(self, before: str, piece: str) -> bool:
-        """Whether piece after before has a finite weight; before is empty at the start."""
-        key = (before, piece)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._merged(before + piece) == ([before, piece] if before else [piece])
-        return known
+    def _weight(self, before: str, piece: str) -> float:
+        """The weight of an arc over piece after before, which is empty at the start."""
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        fits = self._merged(before + piece) == ([before, piece] if before else [piece])
+        weight = self.pairs[before, piece] = 0.0 if fits else float("inf")
+        return weight
 
     # composition and shortest path
 
     def path(self, text: str) -> list[str]:
-        """Pieces of the shortest path through the composition with text. A place has one best state, so each keeps the piece that ends there."""
+        """Pieces of the shortest path through the composition with normalised text. A place has one best state, so each keeps the piece that ends there."""
         ends = self._bpe_ends(text) if self.kind == BPE else self._unigram_ends(text)
         out: list[str] = []
         at = len(text)
@@ -171,20 +199,27 @@ class Model:
         return ends
 
     def _bpe_ends(self, text: str) -> list[str]:
-        """Each prefix has one encoding, so just one arc into a place has a finite weight; where no longer piece fits, it is the character's own."""
-        ends, done, known = list(text), -1, self.pairs.get
+        """Arcs are relaxed in the order of their ends. No cost is below 0, so a place that has it is done; each prefix has an encoding, so an arc over one
+        character, a piece's or the fallback's, is what is left where no longer one is finite."""
+        far = float("inf")
+        costs, ends, weights = [far] * len(text) + [0.0], list(text), self.pairs.get  # the start is the place before the first, at -1
+        last = 0
         for end, piece in self.arcs.iter(text):
-            if end != done:
+            while last < end:  # all arcs into the places before have been seen
+                if costs[last] == far:
+                    costs[last] = costs[last - 1]
+                last += 1
+            if costs[end]:
                 start = end - len(piece)
                 before = ends[start] if start >= 0 else ""
-                if (fits := known((before, piece))) is None:
-                    fits = self._follows(before, piece)
-                if fits:
-                    ends[end], done = piece, end
+                if (weight := weights((before, piece))) is None:
+                    weight = self._weight(before, piece)
+                if (cost := costs[start] + weight) < costs[end]:
+                    costs[end], ends[end] = cost, piece
         return ends
 
     def emit(self, pieces: list[str]) -> bytes:
-        """Ids of a path as little-endian 32-bit integers."""
+        """Ids of a path as little-endian 32-bit integers; the fallback's arcs read a character's bytes."""
         try:
             return array("i", map(self.ids.__getitem__, pieces)).tobytes()
         except KeyError:  # a character is no piece
@@ -200,7 +235,8 @@ class Model:
         return array("i", out).tobytes()
 
     def _ids(self, stretch: str) -> bytes:
-        ids = self.emit(self.path(stretch))
+        """The ids of a stretch, which is read from inside a text."""
+        ids = self.emit(self.path(self.normalise(stretch, INSIDE)))
         if len(stretch) <= LONG:
             if len(self.paths) > KEPT_STRETCHES:
                 self.paths.clear()
@@ -208,11 +244,17 @@ class Model:
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        norm = self.normalise(text)
-        # blanks have become marks, so a blank can show the cuts
-        cuts = _INSIDE_RUN.sub(f" {MARK}", norm) if MARK + MARK in norm else norm.replace(MARK, f" {MARK}")
+        if not text:
+            return np.zeros(0, "<i4")
+        if self.dummy_prefix:
+            text = f" {text}"  # after a blank and at the start, the normaliser is in the same state
+        # a pending blank before a newline makes two states there
+        if not self.cuts or not self.dummy_prefix or CUT in text or self.squeeze_blanks and " \n" in text:
+            norm = self.normalise(text, INSIDE if self.dummy_prefix else START)
+            return np.frombuffer(self.emit(self.path(norm)), "<i4")
         paths, own = self.paths.get, self._ids
-        return np.frombuffer(b"".join([p if (p := paths(s)) is not None else own(s) for s in cuts.replace("\n", " \n ").split(" ") if s]), "<i4")
+        cut = _RUN_START.sub(rf"{CUT}\g<0>", text) if "  " in text or MARK in text else text.replace(" ", f"{CUT} ")
+        return np.frombuffer(b"".join([p if (p := paths(s)) is not None else own(s) for s in cut.replace("\n", f"{CUT}\n").split(CUT)]), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse: pieces' surfaces and raw bytes joined, without the dummy prefix."""
@@ -220,6 +262,8 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+_RUNS = re.compile(" +|[^ ]+")
+
 _models: dict[str, Model] = {}
 
 
