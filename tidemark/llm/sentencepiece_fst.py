@@ -139,8 +139,8 @@ class Model:
             if not text:
                 return ""
             state = self.start()
-        if state == INSIDE and " " not in text:
-            return text
+        if state == INSIDE and not self.squeeze_blanks:  # this state is not left, so each character has one image
+            return text.replace(" ", MARK)
         out, move = [], self.normaliser
         for run in _RUNS.findall(text):  # an arc is taken by a run of blanks, one by one, or by a run of others, where only the first can change state
             blank = run[0] == " "
@@ -199,23 +199,17 @@ class Model:
         return ends
 
     def _bpe_ends(self, text: str) -> list[str]:
-        """Arcs are relaxed in the order of their ends. No cost is below 0, so a place that has it is done; each prefix has an encoding, so an arc over one
-        character, a piece's or the fallback's, is what is left where no longer one is finite."""
-        far = float("inf")
-        costs, ends, weights = [far] * len(text) + [0.0], list(text), self.pairs.get  # the start is the place before the first, at -1
-        last = 0
+        """Each prefix has one encoding and finite weights are 0, so the distance of every place is 0 and the arc of weight 0 into it is the one on the
+        shortest path: where no longer one has it, that over one character, a piece's or the fallback's."""
+        ends, done, weights = list(text), -1, self.pairs.get
         for end, piece in self.arcs.iter(text):
-            while last < end:  # all arcs into the places before have been seen
-                if costs[last] == far:
-                    costs[last] = costs[last - 1]
-                last += 1
-            if costs[end]:
+            if end != done:
                 start = end - len(piece)
                 before = ends[start] if start >= 0 else ""
                 if (weight := weights((before, piece))) is None:
                     weight = self._weight(before, piece)
-                if (cost := costs[start] + weight) < costs[end]:
-                    costs[end], ends[end] = cost, piece
+                if not weight:
+                    ends[end], done = piece, end
         return ends
 
     def emit(self, pieces: list[str]) -> bytes:
