@@ -129,16 +129,14 @@ def overlaps(docs: list[tuple[int, str | None]], items: list[tuple[int, str | No
         need = ceil(Fraction(8, 10) * width)
         run = ceil(Fraction(need, width - need + 1))
         for at in range(len(toks) - run + 1):
-            grams[run][tuple(toks[at : at + run])].append((i, at))
-    by_id = dict(own)
+            grams[run][tuple(toks[at : at + run])].append(((i, tuple(toks)), at))
     for d, text in docs:
         toks = tokens(text)
         seen = set()
         for run, table in grams.items():
             for at in range(len(toks) - run + 1):
                 seen.update((i, at - place) for i, place in table.get(tuple(toks[at : at + run]), ()))
-        for i, start in seen:
-            item = by_id[i]
+        for (i, item), start in seen:
             width = min(13, len(item))
             equal = [0 <= start + k < len(toks) and toks[start + k] == x for k, x in enumerate(item)]
             if max(sum(equal[k : k + width]) for k in range(len(item) - width + 1)) / width >= 0.8:

@@ -127,6 +127,36 @@ def test_masks_fit_wherever_two_of_a_window_are_substituted():
             assert any(not {at + k for k in ones} & set(gone) for at in range(decontaminate.WINDOW - len(mask) + 1)), (mask, gone)
 
 
+@pytest.mark.parametrize("size", range(1, 20))
+def test_masks_of_items_fit_whichever_fifth_is_substituted(size):
+    window = min(size, decontaminate.WINDOW)
+    for gone in combinations(range(window), window - -(-8 * window // 10)):
+        used = decontaminate.masks_of(size)
+        assert any(not {at + k for k, b in enumerate(m) if b == "1"} & set(gone) for m in used for at in range(window - len(m) + 1)), (size, gone)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_short_and_long_items_with_substitutions(spark, monkeypatch, broadcast):
+    """Also where the benchmark's seeds are too many to broadcast."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    items = [(n if n % 7 else None, [word() for _ in range(size)]) for n, size in enumerate([1, 2, 3, 4, *range(5, 16), *range(5, 14), 30])]
+    docs = []
+    for k in range(90):
+        text = [word() for _ in range(rng.randrange(30))]
+        own = list(rng.choice(items)[1])
+        for at in rng.sample(range(len(own)), min(len(own) // 4 + (k % 2), len(own))):
+            own[at] = word()
+        docs.append((k, " ".join(text + own + [word() for _ in range(rng.randrange(5))])))
+    docs += [(3, docs[4][1]), (None, docs[5][1]), (500, None)]
+    if not broadcast:
+        from tidemark.llm import common
+
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["doc_start"]) for r in found.collect()} == brute.overlaps(docs, [(i, " ".join(t)) for i, t in items])
+
+
 def test_decontamination_query(spark, documents):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = brute.overlaps(documents, items)

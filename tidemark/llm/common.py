@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OWN_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Files of a table that is broadcast, at most.
+BROADCAST_BYTES = 8 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN_CHECKPOINTS
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one machine's own serves only a session that runs on it alone."""
+    conf = spark.sparkContext.getConf()
+    if shared := conf.get("spark.checkpoint.dir"):
+        return shared
+    if not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -40,12 +47,16 @@ def drop(*dfs: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
-def hint_small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """Broadcast a table made by cut() if its files are small; a larger one is left to a shuffled join."""
+def is_small(df: DataFrame) -> bool:
+    """Whether the files of a table made by cut() are small enough to broadcast."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(df) if size <= most_bytes else df
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() <= BROADCAST_BYTES
+
+
+def hint_small(df: DataFrame) -> DataFrame:
+    """Broadcast a table made by cut() if its files are small; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, hint_small
+from tidemark.llm.common import cut, hint_small, is_small
 
 #: Five tokens count in each. Either alone fits somewhere in any WINDOW of 13 tokens of which two are substituted.
 MASKS = ("11001011", "11010011")
 #: Tokens of an overlap (or the whole item, where that is shorter), and the share of them that must agree.
 WINDOW, SIMILAR = 13, 0.8
+#: By number of tokens, masks of shorter items: one of them fits somewhere whichever tokens are substituted, up to a fifth of them. Below 5 all tokens count.
+SHORT_MASKS = {
+    5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11011",), 8: ("1111",), 9: ("1111",), 10: ("11111", "111011", "11010011"), 11: ("111101", "110010011"), 12: ("11111", "111011"),
+}
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -32,21 +36,41 @@ def seeds(toks: Column, mask: str, number: int) -> Column:
 
 
 def _all_seeds(df: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """Adds `pos` and `seed`, a row for each place and mask: all places of the first mask, then those of the next."""
+    """Adds `pos` and `seed` to df (toks, ...), a row for each place and mask: all places of the first mask, then those of the next."""
     each = [seeds(F.col("toks"), m, n) for n, m in enumerate(masks)]
     # The array is a column before it is exploded: explode and the join after it then are compiled code and copy no row in between. The outer
     # form keeps the optimizer from testing the array's size first, which would compute it, and the tokens at each of its places, again.
     return df.withColumn("seeds", F.concat(*each)).select(*df.columns, F.posexplode_outer("seeds").alias("pos", "seed"))
 
 
-def _place(masks: tuple[str, ...]) -> Column:
-    """The token at which the seed at `pos` begins."""
-    at, before = F.col("pos"), F.lit(0)
-    for mask in masks:
-        fits = F.greatest(F.size("toks") - len(mask) + 1, F.lit(0))
+def _place(masks: tuple[str, ...], size: Column) -> tuple[Column, Column]:
+    """The token at which the seed at `pos` begins, and the number of its mask."""
+    at, number, before = F.col("pos"), F.lit(0), F.lit(0)
+    for n, mask in enumerate(masks):
+        fits = F.greatest(size - len(mask) + 1, F.lit(0))
         at = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(at)
+        number = F.when(F.col("pos") >= before, F.lit(n)).otherwise(number)
         before = before + fits
-    return at
+    return at, number
+
+
+def masks_of(size: int, masks: tuple[str, ...] = MASKS, window: int = WINDOW) -> tuple[str, ...]:
+    """The masks that find items of so many tokens."""
+    if size >= window:
+        return masks
+    return SHORT_MASKS.get(size, masks if size >= 5 else ("1" * size,))
+
+
+def _item_seeds(items: DataFrame, masks: tuple[str, ...], window: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """(key, item_at, seed) of items (key, item), each item by the masks for its number of tokens; and all masks used."""
+    sizes = [r[0] for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]  # no more than window
+    used = tuple(sorted({m for n in sizes for m in masks_of(n, masks, window)}))
+    at, number = _place(used, F.size("toks"))
+    own = F.lit(False)
+    for n in sizes:
+        own = own | ((F.least(F.size("toks"), F.lit(window)) == n) & number.isin([used.index(m) for m in masks_of(n, masks, window)]))
+    rows = _all_seeds(items.select("key", F.col("item").alias("toks")), used or ("1",))
+    return rows.where(F.col("seed").isNotNull() & own).select("key", at.alias("item_at"), "seed").distinct(), used
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, similar: float = SIMILAR) -> DataFrame:
@@ -54,22 +78,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
 
     A row for each document, item and offset at which some `window` tokens in a row (all of the item's, if it has fewer) agree in a share
     of `similar` at least. doc_start is the document's token at which the item's first would lie (below 0 if its start is cut off),
-    n_aligned and n_equal count the item's tokens inside the document and those equal, best_window is the best window's share. Items of
-    fewer tokens than a mask are found by a mask of ones of their length. Null and empty texts and items overlap nothing; repeated
-    documents give repeated rows, repeated items one row each; other columns are ignored; either table may be empty.
+    n_aligned and n_equal count the item's tokens inside the document and those equal, best_window is the best window's share. masks are for
+    items of window tokens or more, SHORT_MASKS for the others; both find two substituted tokens among 13 and a fifth among fewer. Null and empty texts
+    and items overlap nothing; rows without an id count like others; repeated documents give repeated rows, repeated items one row
+    each; other columns are ignored; either table may be empty.
 
-    The seeds of the benchmark are broadcast after a check of their size, else joined by shuffle.
+    The seeds of the benchmark are broadcast after a check of their size; then the tokens of a document are at hand where a seed is hit. Larger ones
+    meet the documents' seeds in a shuffled join, to which a document gives hashes and places alone; its tokens follow for what is hit.
     """
-    items = cut(benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") > 0), "bench-items")
-    shortest = min(map(len, masks))
-    short = [r[0] for r in items.where(F.size("item") < shortest).select(F.size("item")).distinct().collect()]  # a few lengths below a mask's
-    used = (*masks, *("1" * n for n in sorted(short)))
-    bench = _all_seeds(items.select("item_id", F.col("item").alias("toks")), used).select("item_id", _place(used).alias("item_at"), "seed")
-    bench = cut(bench.where("seed is not null").distinct(), "bench-seeds")
-    rows = _all_seeds(docs.select("doc_id", tokens(F.col("text")).alias("toks")), used)
-    hits = rows.join(hint_small(bench), "seed").join(hint_small(items), "item_id")
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("item")).where(F.size("item") > 0)
+    items = cut(items.withColumn("key", F.xxhash64("item")).distinct(), "bench-items")
+    bench, used = _item_seeds(items.select("key", "item"), masks, window)
+    bench = cut(bench, "bench-seeds")
+    toks = tokens(F.col("text")).alias("toks")
+    if is_small(bench):
+        rows = _all_seeds(docs.select("doc_id", toks), used or ("1",))
+        hits = rows.join(F.broadcast(bench), "seed").withColumn("start", _place(used, F.size("toks"))[0] - F.col("item_at"))
+    else:
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"))
+        rows = _all_seeds(texts.select("text_a", "text_b", toks), used).select("text_a", "text_b", F.size("toks").alias("size"), "pos", "seed")
+        met = rows.join(bench, "seed").select("text_a", "text_b", "key", (_place(used, F.col("size"))[0] - F.col("item_at")).alias("start"))
+        met = cut(met.distinct(), "bench-hits")
+        named = cut(met.select("text_a", "text_b").distinct(), "bench-texts")
+        hit = texts.join(hint_small(named), ["text_a", "text_b"], "left_semi").select("doc_id", "text_a", "text_b", toks)
+        hits = hit.join(hint_small(met), ["text_a", "text_b"])
+    hits = hits.join(hint_small(items), "key")
+    start = F.col("start")
     # let() binds a value once: expressions inside the functions of an array would be computed again at each of its places
-    start = _place(used) - F.col("item_at")
     # the tokens of the document beside the item's, null where the document has none
     beside = lambda st: F.transform("item", lambda x, j: F.coalesce((F.try_element_at("toks", F.when(st + j >= 0, st + j + 1)) == x).cast("int"), F.lit(0)))
     ones = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
