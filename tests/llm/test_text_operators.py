@@ -72,6 +72,38 @@ def test_simhash_edges(spark):
     assert simhash.simhash_dedup(odd_docs(spark).limit(0)).collect() == []
 
 
+def test_patterns_hold_for_all_that_differ_in_few_bits():
+    masks = simhash.patterns(3)
+    rng = random.Random(2)
+    for _ in range(5000):
+        gone = sum(1 << b for b in rng.sample(range(64), 3))
+        assert any(not int(m) & gone for m in masks)
+
+
+def test_simhash_links_of_full_ranges(spark, monkeypatch):
+    """Many nodes and ranges to a pattern: what is pruned has no link."""
+    monkeypatch.setattr(simhash, "NODE", 16)
+    monkeypatch.setattr(simhash, "RANGE", 4)
+    rng = random.Random(3)
+    low = rng.getrandbits(44)
+    fps = sorted({(rng.getrandbits(12) & rng.getrandbits(12)) << 52 | low for _ in range(1500)} | {low ^ (1 << rng.randrange(64)) ^ (rng.getrandbits(20) << 44) for _ in range(1500)})
+    got = simhash.links(spark.createDataFrame([(brute.signed(f), n) for n, f in enumerate(fps)], "fp long, rep long")).collect()
+    x = np.array(fps, np.uint64)
+    links = [(n, int(m)) for n in range(len(x)) for m in np.nonzero(np.bitwise_count(x[n] ^ x[n + 1 :]) <= 3)[0] + n + 1]
+    assert brute.components(range(len(fps)), [(r["u"], r["v"]) for r in got]) == brute.components(range(len(fps)), links)
+
+
+def test_rows_without_an_id_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.selectExpr("doc_id", "CAST(text AS LONG) AS fp", "xxhash64(text) AS text_hash"))
+    rows = [(9, 0), (None, 7), (4, 63), (None, 1 << 40), (None, 3 << 40), (7, -1), (7, -2)]
+    out = simhash.simhash_dedup(spark.createDataFrame([(d, str(f)) for d, f in rows], "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["fingerprint"]): (r["component_id"], r["kept"]) for r in out}
+    want = [(4, False), (4, False), (4, True), (None, True), (None, True), (7, True), (7, True)]
+    # 2**40 is one bit from 0
+    want[3] = want[4] = (4, False)
+    assert got == {(d, f"{f % 2**64:016x}"): w for (d, f), w in zip(rows, want, strict=True)}
+
+
 def test_near_skips_only_what_is_far():
     rng = np.random.default_rng(0)
     a = np.concatenate([rng.integers(0, 2**63, 200, dtype=np.uint64), np.uint64(7) ^ (np.uint64(1) << rng.integers(0, 8, 200, dtype=np.uint64))])
