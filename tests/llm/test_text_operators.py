@@ -319,19 +319,30 @@ def test_sharding_query(spark, documents):
     for _, t in documents:
         sizes[brute.spark_hash(t)] = sizes.get(brute.spark_hash(t), 0) + len(t.encode()) + 1
     loads = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
-    rest = dict(sizes)
-    free = 8
-    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
-        if free > 1 and rest[key] * free > sum(rest.values()) and len(rest) > 1:
-            del rest[key]
-            free -= 1
-    assert max(loads) == max([*(v for k, v in sizes.items() if k not in rest), least_largest([rest[k] for k in sorted(rest)], free)])
+    assert max(loads) == least_largest([sizes[k] for k in sorted(sizes)], 8)
+    texts = dict(documents)
+    order = [s for _, s in sorted((brute.spark_hash(texts[r["doc_id"]]), r["shard"]) for r in rows)]
+    assert order == sorted(order), "runs of the groups in their order"
+
+
+def even_loads(sizes: list[int], shards: int) -> list[int]:
+    """Loads under the smallest capacity, each cut the nearest to an even share of the rest from which the rest fits, by trying all places."""
+    capacity, ends = least_largest(sizes, shards), [0, *np.cumsum(sizes).tolist()]
+    fits = lambda at, left: left * capacity >= ends[-1] - at and (at == ends[-1] or left > 0 and fits(max(e for e in ends if e <= at + capacity), left - 1))
+    at, loads = 0, []
+    for left in range(shards, 0, -1):
+        aim = at + (ends[-1] - at) // left
+        good = [e for e in ends if at <= e <= at + capacity and fits(e, left - 1)]
+        end = min(good, key=lambda e: (abs(e - aim), e))
+        loads.append(end - at)
+        at = end
+    return loads
 
 
-@pytest.mark.parametrize(("shards", "n"), [(1, 10), (3, 2), (8, 200), (5, 61)])
+@pytest.mark.parametrize(("shards", "n"), [(1, 10), (3, 2), (8, 200), (5, 61), (8, 300), (4, 30), (3, 31)])
 def test_least_capacity(shards, n):
     rng = random.Random(n)
-    groups = sorted((rng.getrandbits(64) - (1 << 63) if n != 61 else rng.randrange(100), rng.randrange(1, 50)) for _ in range(n))
+    groups = sorted((rng.getrandbits(64) - (1 << 63) if n != 61 else rng.randrange(100), rng.randrange(1, 50) if n % 3 or rng.random() < 0.97 else 2000) for _ in range(n))
 
     def summary(width, prefixes, of=0):
         out: dict[int, list[int]] = {}
@@ -349,8 +360,9 @@ def test_least_capacity(shards, n):
     if len(merged) == len(groups):
         capacity, starts = sharding.least_capacity(summary, shards)
         assert capacity == least_largest(sizes, shards)
-        loads = [sum(s for k, s in merged.items() if sum(k >= x for x in starts) == p) for p in range(len(starts) + 1)]
-        assert max(loads) <= capacity and len(loads) <= shards
+        starts = [x for x in starts if x is not None]
+        loads = [sum(s for k, s in merged.items() if sum(k >= x for x in starts) == p) for p in range(shards)]
+        assert sorted(loads) == sorted(even_loads(sizes, shards)) and max(loads) == capacity
 
 
 def test_sharding_edges(spark):
