@@ -151,6 +151,43 @@ def test_language_pieces_and_edges(spark, monkeypatch):
     assert kept.columns == odd_docs(spark).columns and all(any(c.isalpha() for c in r["text"]) for r in kept.collect())
 
 
+def test_language_filters_and_counts_as_plain_sets_have_them(spark):
+    """Grams, the languages that contain them, the filters' bits, their AND and the correction, by dictionaries and loops."""
+    docs = table(spark, SF, "documents")
+    log2 = 12  # so few slots that false positives are many
+    filters = langid.train(docs, ~langid.held_out(docs["doc_id"]), slots_log2=log2)
+    rows = docs.collect()
+
+    def grams(text):
+        low = [c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in f" {text} "]
+        return [tuple(map(ord, low[k - 1 : k + 2])) for k in range(1, len(low) - 1) if low[k] != " "]
+
+    uses: dict[str, dict[tuple, int]] = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            own = uses.setdefault(r["lang"], {})
+            for g in grams(r["text"]):
+                own[g] = own.get(g, 0) + 1
+    assert filters.languages == sorted(uses)
+    share = {k: {g: n / sum(own.values()) for g, n in own.items()} for k, own in uses.items()}
+    places = lambda g: {((p := g[0] << 42 | g[1] << 21 | g[2]) ^ p >> 29) * int(langid._ODD[k]) % 2**64 >> 64 - log2 for k in range(langid.HASHES)}
+    held = {k: set() for k in uses}
+    for k, own in uses.items():
+        for g, n in own.items():
+            if n >= langid.LEAST_USES and share[k][g] >= langid.SHARE * max(s.get(g, 0) for s in share.values()):
+                held[k] |= places(g)
+    for n, k in enumerate(filters.languages):
+        assert set(np.nonzero(filters.masks[0] >> np.uint64(n) & np.uint64(1))[0].tolist()) == held[k]
+    rate = {k: (len(held[k]) / 2**log2) ** langid.HASHES for k in uses}
+    assert max(rate.values()) > 0.001
+    texts = [r["text"] for r in rows] + ODD
+    for text, lang, score in zip(texts, *filters.decide(texts), strict=True):
+        own = grams(text or "")
+        real = {k: max(0.0, (sum(places(g) <= held[k] for g in own) - len(own) * rate[k]) / (1 - rate[k])) for k in filters.languages}
+        best = max(filters.languages, key=lambda k: real[k]) if own else "und"
+        assert lang == best and score == pytest.approx(min(1.0, real[best] / len(own)) if own else 0.0)
+
+
 # embeddings
 
 
@@ -277,13 +314,29 @@ def test_quality_edges(spark):
     assert nbsvm.quality(docs.limit(0), labels).collect() == []
 
 
-def test_hinge_loss_is_least_where_the_fit_ends():
-    """Weights before mixing: no small step lowers the primal objective much."""
+def test_hinge_loss_is_least_where_the_fit_ends(monkeypatch):
+    """Against a plain solver of the same problem: projected gradient on the dual, with the whole matrix of products."""
+    monkeypatch.setattr(nbsvm, "MIX", 1.0)
+    monkeypatch.setattr(nbsvm, "ROUNDS", 200)
     rng = np.random.default_rng(2)
-    y = np.array([0, 1] * 60)
-    xs = [np.unique(rng.choice(np.arange(40) + 20 * label, 12)).astype(np.int32) for label in y]
+    y = np.array([0, 1, 1] * 30)
+    xs = [np.unique(rng.choice(np.arange(40) + 12 * label, 9)).astype(np.int32) for label in y]  # not separable
     one = nbsvm.fit_svm(xs, y)
-    assert np.mean([(one.margin(x) > 0) == label for x, label in zip(xs, y, strict=True)]) > 0.95
+    share = [np.array([1.0 + sum(f in x for x, label in zip(xs, y, strict=True) if label == k) for f in range(60)]) for k in (0, 1)]
+    ratio = np.log(share[1] / (share[1].sum() + 2**nbsvm.FEATURES_LOG2 - 60)) - np.log(share[0] / (share[0].sum() + 2**nbsvm.FEATURES_LOG2 - 60))
+    assert np.allclose(one.ratio[:60], ratio)
+    v = np.zeros((len(y), 61))
+    for n, x in enumerate(xs):
+        v[n, x] = ratio[x] / np.linalg.norm(ratio[x])
+        v[n, 60] = 1  # the bias is a feature
+    sign, cost = np.where(y == 1, 1.0, -1.0), len(y) / (2 * np.array([(y == 0).sum(), (y == 1).sum()]))[y]
+    q = (sign[:, None] * v) @ (sign[:, None] * v).T
+    alpha = np.zeros(len(y))
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (v @ w))).sum()
+    assert loss(np.append(one.weight[:60], one.bias)) == pytest.approx(loss(v.T @ (alpha * sign)), rel=1e-3)
+    assert not one.weight[60:].any()
 
 
 # records
@@ -321,6 +374,16 @@ def test_odd_records(spark, tmp_path):
     assert records.token_records(odd_docs(spark).limit(0), public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/none").collect() == []
 
 
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok = records.WordEncoder(path, 2), Tokenizer.from_file(path)
+    assert not enc.by_stretch and records.encoder(public_tokenizers.path("word_bpe_49k.json"), 2).by_stretch
+    for t in ODD:
+        assert np.frombuffer(enc.encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_damage_is_found():
     record = records.frame(b"some payload")
     assert records.unframe(record) == b"some payload"

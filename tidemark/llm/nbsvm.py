@@ -137,7 +137,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = TRAIN_PER_CLASS) -> Scorer | float:
     """Fit on docs (doc_id, text) that labels (doc_id, quality) marks 0 or 1 and that are not held out.
 
-    Of each class the per_class ids with the least hash serve; an id with both labels counts as 0. The bounded sample's features come to
+    Of each class the per_class ids with the least hash serve; an id with both labels counts as 0, of an id's texts one serves. The bounded sample's features come to
     the driver, a list of integers for each document.
     """
     small_batches(docs.sparkSession)
@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(xs, pa.list_(pa.int32()))], ["doc_id", "y", "x"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # 2 * per_class rows
-    text = text.dropDuplicates(["doc_id"])
+    # of rows with one id, the text with the least hash
+    text = text.groupBy("doc_id").agg(F.min_by(F.struct("y", "text"), F.struct(F.xxhash64("text"), "text")).alias("row")).select("doc_id", "row.*")
     rows = text.mapInArrow(run, "doc_id long, y int, x array<int>").toArrow().sort_by("doc_id")
     xs = [np.asarray(x.values, np.int32) if x.is_valid else np.zeros(0, np.int32) for x in rows["x"]]
     return fit(xs, np.asarray(rows["y"].to_numpy(), np.int64))

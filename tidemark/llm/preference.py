@@ -73,10 +73,13 @@ def swapped_pairs(turns: DataFrame) -> DataFrame:
     chosen: the conversation up to its last assistant turn. rejected: the same with that turn's text taken from the last assistant turn of
     the neighbour (ids 2k and 2k+1 are neighbours); without such a turn there, the last turn is left out. Rows without conv_id are left out.
     """
-    conv = conversations(turns.where("conv_id is not null"))
+    turns = turns.where("conv_id is not null")
+    conv = conversations(turns)
     last = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)))
     conv = conv.withColumn("n", last).where("n is not null")
-    other = conv.select((F.col("conv_id").bitwiseXOR(F.lit(1))).alias("conv_id"), F.lit(True).alias("there"), F.element_at("turns", F.col("n"))["text"].alias("other"))
+    # of a neighbour only its last assistant text is brought together
+    said = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text"))["text"].alias("other"))
+    other = said.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.lit(True).alias("there"), "other")
     both = conv.join(other, "conv_id", "left")
     before = F.slice("turns", 1, F.col("n") - 1)
     swapped = F.array(F.struct(F.lit("assistant").alias("role"), F.col("other").alias("text"))).cast(TURN)

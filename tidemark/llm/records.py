@@ -9,6 +9,7 @@ so what a lost or repeated task leaves behind is never read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -29,6 +30,8 @@ KEPT_WORDS, LONG = 1_000_000, 40
 #: Stretches in which a change between letter and mark ends a pre-token. Apostrophes and angle brackets are left to the tokenizer.
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%&$#*|()+=/-"
 PLAIN = re.compile("[a-z]+")
+#: The pre-tokens of a tokenizer whose stretches between blanks can be encoded one by one (a fixed value of its file).
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIMPLE, RUNS = re.compile(f"[{_LETTER}{_MARK}]+"), re.compile(f"[{_LETTER}]+|[{_MARK}]+")
 INDEX = "doc_id long, file string, file_no int, offset long, length long, id_bytes int, before long, n_tokens long"
 
@@ -59,6 +62,7 @@ def unframe(record: bytes) -> bytes:
 class WordEncoder(dict):
     """Stretch of a text between blanks -> its ids' bytes, for a tokenizer whose pre-tokenizer drops blanks and never joins what they part.
 
+    The tokenizer's file tells whether it is such a one; texts go whole to any other.
     Stretches of Latin letters and marks are looked up by their runs of either, in lower case, which are pre-tokens of this tokenizer; a
     run of plain letters goes to its model at once. Any other stretch passes through the whole tokenizer. KEPT_WORDS of them are kept.
     """
@@ -70,6 +74,10 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = {2: "H", 4: "I"}[id_bytes]
+        parts = json.loads(self.tokenizer.to_str())
+        norm, pre = ((parts.get(k) or {}).get(m) or [] for k, m in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        self.by_stretch = [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and parts["model"]["type"] == "BPE"
+        self.by_stretch = self.by_stretch and pre[0]["pattern"] == {"Regex": PRE_TOKENS} and pre[0]["invert"] and pre[0]["behavior"] == "Removed" and not pre[1]["add_prefix_space"]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > KEPT_WORDS:
@@ -85,6 +93,8 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_stretch:
+            return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
