@@ -198,7 +198,7 @@ def customer_mule_indicators(account: DataFrame, txn: DataFrame, as_of: str, sin
     score = (
         F.when(passes, 30).otherwise(0) + F.when(F.col("unique_senders") > 5, 20).otherwise(0) + F.when(rapid, 25).otherwise(0) + F.when(F.col("structuring") >= 2, 15).otherwise(0) + F.when(F.col("dormant_accounts") > 0, 10).otherwise(0)
     )
-    return all_.select("customer_id", half_even(F.col("inbound"), 2).alias("inbound"), half_even(F.col("outbound"), 2).alias("outbound"), half_even(turnover, 3).alias("turnover_ratio"), passes.alias("is_pass_through"), "unique_senders", rapid.alias("rapid_disbursement"), "dormant_accounts", "structuring", score.alias("mule_score"), (score >= 50).alias("is_likely_mule"))
+    return all_.select("customer_id", "inbound", "outbound", turnover.alias("turnover_ratio"), passes.alias("is_pass_through"), "unique_senders", rapid.alias("rapid_disbursement"), "dormant_accounts", "structuring", score.alias("mule_score"), (score >= 50).alias("is_likely_mule"))
 
 
 __all__ = ["account_stats", "account_vectors", "customer_mule_indicators", "feature_snapshot", "graph_node_features", "graph_node_stats", "graph_summary", "mule_explanation", "mule_labels", "mule_patterns", "rule_score", "total"]

@@ -34,9 +34,10 @@ def round_trips_since(txn: DataFrame, hours: int = 48) -> DataFrame:
     there = legs.select(F.col("sender_account_id").alias("a"), F.col("receiver_account_id").alias("b"), F.col("ts").alias("t1"))
     back = legs.select(F.col("sender_account_id").alias("b"), F.col("receiver_account_id").alias("a"), F.col("ts").alias("t2"))
     pairs = there.join(back, ["a", "b"]).groupBy("a", F.least("t1", "t2").alias("first")).agg(F.count("*").alias("n"))
-    since = txn.select("id", F.col("sender_account_id").alias("a"), (F.col("ts") - F.expr(f"interval '{hours}' hour")).alias("since"))
-    found = since.join(pairs, "a").where("first >= since").groupBy("id").agg(F.sum("n").alias("round_trip_count"))
-    return txn.select("id").join(found, "id", "left").select("id", F.coalesce("round_trip_count", F.lit(0).cast("long")).alias("round_trip_count"))
+    # pairs and transactions of a sender in one order of time: a window counts the pairs, no transaction meets each pair
+    rows = pairs.select("a", F.col("first").alias("at"), "n", F.lit(None).cast(txn.schema["id"].dataType).alias("id")).unionByName(txn.select(F.col("sender_account_id").alias("a"), F.col("ts").alias("at"), F.lit(0).cast("long").alias("n"), "id"))
+    found = F.expr(f"sum(n) over (partition by a order by at range between interval '{hours}' hour preceding and unbounded following)")
+    return rows.withColumn("round_trip_count", found).where("id is not null").select("id", F.coalesce("round_trip_count", F.lit(0).cast("long")).alias("round_trip_count"))
 
 
 def incidence(txn: DataFrame) -> DataFrame:
@@ -62,10 +63,11 @@ def network_hops(account: DataFrame, txn: DataFrame) -> DataFrame:
 
 def connected_accounts(account: DataFrame, txn: DataFrame) -> DataFrame:
     """(account_id, connected_accounts): distinct accounts that paths over one or two transactions reach, itself included if one returns."""
-    ends = incidence(txn)
-    one = ends.select("account", F.col("other").alias("reached"))
-    step = ends.select(F.col("account").alias("mid"), F.col("txn").alias("txn2"), F.col("other").alias("reached"))
-    two = ends.select("account", F.col("other").alias("mid"), "txn").join(step, "mid").where("txn <> txn2").select("account", "reached")
+    # neighbours once, with the number of transactions between: a way there and back needs two
+    near = incidence(txn).groupBy("account", "other").agg(F.count("*").alias("n"))
+    one = near.select("account", F.col("other").alias("reached"))
+    step = near.select(F.col("account").alias("other"), F.col("other").alias("reached"))
+    two = near.join(step, "other").where("reached <> account or n > 1").select("account", "reached")
     n = one.unionByName(two).distinct().groupBy("account").agg(F.count("*").alias("n"))
     return account.select(F.col("id").alias("account")).join(n, "account", "left").select(F.col("account").alias("account_id"), F.coalesce("n", F.lit(0).cast("long")).alias("connected_accounts"))
 

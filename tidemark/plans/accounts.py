@@ -10,6 +10,7 @@ from tidemark.operators import accounts as A
 from tidemark.operators import evaluation as E
 from tidemark.operators import nearest as N
 from tidemark.plans.base import NOW, SINCE_30D, even, query
+from tidemark.plans.graphs import NODE_STATS, node_stats
 from tidemark.sources.adapter import AS_OF
 
 SINCE = f"timestamp'{SINCE_30D}'"
@@ -54,22 +55,40 @@ def standard_scale(k):
     return z.select("account_id", *(half_even(F.col(f"z_{v}"), 6).alias(f"z_{v}") for v in V[:4]))
 
 
-@query()
-def knn_anomaly(k):
+def composite(k):
     s = stats(k)
     return N.anomaly(A.account_vectors(s), A.rule_score(s), V)
 
 
-@query()
+def _nearest(rows: str, index: str, columns: list[str]) -> str:
+    """SQL for (account_id, distance): mean of the 7 least squared distances."""
+    d = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in columns)
+    return f"(SELECT account_id, avg(d) AS distance FROM (SELECT a.account_id, {d} AS d, row_number() OVER (PARTITION BY a.account_id ORDER BY {d}) AS n FROM {rows} a CROSS JOIN {index} b) WHERE n <= 7 GROUP BY 1)"
+
+
+KNN = f"""{STATS}, {VECTORS}, knn_page AS (SELECT * FROM vectors ORDER BY account_id LIMIT {N.REFERENCE}), normal AS (SELECT * FROM knn_page WHERE v0 < 0.6 OR (SELECT count(*) FROM knn_page WHERE v0 < 0.6) < 10),
+    moments AS (SELECT {", ".join(f"avg({v}) AS m_{v}, coalesce(nullif(stddev_pop({v}), 0), 1) AS s_{v}" for v in V)} FROM normal), scaled AS (SELECT account_id, {", ".join(f"({v} - m_{v}) / s_{v} AS {v}" for v in V)} FROM vectors CROSS JOIN moments),
+    knn_index AS (SELECT * FROM scaled WHERE account_id IN (SELECT account_id FROM normal)), dist AS {_nearest("scaled", "knn_index", V)}, p95 AS (SELECT coalesce(nullif(quantile_cont(distance, 0.95), 0), 1) AS p FROM dist WHERE account_id IN (SELECT account_id FROM normal)),
+    composite AS (SELECT account_id, least(100, distance / p * 50) AS raw, {RULES} AS rule_score, {even(f"0.5 * least(100, distance / p * 50) + 0.5 * ({RULES})", 1)} AS anomaly_score FROM dist CROSS JOIN p95 JOIN stats USING (account_id))"""
+
+
+@query(f"SELECT account_id, {even('raw', 1)} AS knn_score, rule_score, anomaly_score, anomaly_score >= 40 AS is_mule_suspect FROM composite", KNN)
+def knn_anomaly(k):
+    return composite(k).drop("knn_raw")
+
+
+@query(
+    """SELECT vec_id, arg_max(y, (w, -y)) AS label_pred FROM (SELECT vec_id, y, sum(CASE WHEN d > 0 THEN 1 / d ELSE 1e6 END) AS w FROM (SELECT a.vec_id, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE n <= 5 GROUP BY 1, 2) GROUP BY 1"""
+)
 def knn_classify(k):
-    e = k.raw("embeddings")
-    return N.classify(e, N.reference(e, "vec_id"), "vec_id", "embedding", "label")
+    return N.classify(k.raw("embeddings"), "vec_id", "embedding", "label")
 
 
-@query()
+@query(f"SELECT account_id, {even('distance', 4)} AS distance FROM {_nearest('vectors', f'(SELECT * FROM vectors ORDER BY account_id LIMIT {N.REFERENCE})', V)}", f"{STATS}, {VECTORS}")
 def knn_distance(k):
     v = A.account_vectors(stats(k))
-    return N.mean_distance(v, N.reference(v, "account_id"), "account_id", V)
+    return N.mean_distance(v, N.reference(v, "account_id"), "account_id", V).withColumn("distance", half_even(F.col("distance"), 4))
 
 
 @query("SELECT account_id FROM (SELECT sender_account_id AS account_id, count(*) FILTER (is_fraud) / count(*) AS rate FROM k_txn GROUP BY 1) WHERE rate >= 0.30")
@@ -83,22 +102,27 @@ def structuring_accounts(k):
     return stats(k).where("structuring >= 2").select("account_id", "structuring")
 
 
-@query(f"SELECT a.account_id, c.name, {RULES} AS rule_score FROM stats a JOIN k_account k ON k.id = a.account_id LEFT JOIN k_customer c ON c.id = k.customer_id WHERE {RULES} >= 40 ORDER BY rule_score DESC, account_id LIMIT 50", STATS)
+@query("SELECT a.account_id, c.name, a.anomaly_score FROM composite a JOIN k_account k ON k.id = a.account_id LEFT JOIN k_customer c ON c.id = k.customer_id WHERE anomaly_score >= 40 ORDER BY anomaly_score DESC, account_id LIMIT 50", KNN)
 def mule_suspects(k):
     own = k.account.select(F.col("id").alias("account_id"), "customer_id").join(k.customer.select(F.col("id").alias("customer_id"), "name"), "customer_id", "left")
-    return A.rule_score(stats(k)).where("rule_score >= 40").join(own, "account_id").orderBy(F.desc("rule_score"), "account_id").select("account_id", "name", "rule_score").limit(50)
+    return knn_anomaly(k).where("is_mule_suspect").join(own, "account_id").orderBy(F.desc("anomaly_score"), "account_id").select("account_id", "name", "anomaly_score").limit(50)
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (s >= 40) AS suspects, count(*) FILTER (s >= 70) AS high, {even('count(*) FILTER (s >= 40) / count(*) * 100', 2)} AS suspect_pct FROM (SELECT {RULES} AS s FROM stats)", STATS)
+@query(f"SELECT count(*) AS total, count(*) FILTER (anomaly_score >= 40) AS suspects, count(*) FILTER (anomaly_score >= 70) AS high, {even('count(*) FILTER (anomaly_score >= 40) / count(*) * 100', 2)} AS suspect_pct FROM composite", KNN)
 def anomaly_summary(k):
-    s = F.col("rule_score")
-    return A.rule_score(stats(k)).agg(F.count("*").alias("total"), count_if(s >= 40).alias("suspects"), count_if(s >= 70).alias("high"), half_even(count_if(s >= 40) / F.count("*") * 100, 2).alias("suspect_pct"))
+    s = F.col("anomaly_score")
+    return knn_anomaly(k).agg(F.count("*").alias("total"), count_if(s >= 40).alias("suspects"), count_if(s >= 70).alias("high"), half_even(count_if(s >= 40) / F.count("*") * 100, 2).alias("suspect_pct"))
 
 
-@query(f"SELECT k.customer_id, max({RULES}) AS max_score, bool_or({RULES} >= 40) AS any_suspect FROM stats s JOIN k_account k ON k.id = s.account_id GROUP BY 1", STATS)
+@query("SELECT k.customer_id, max(anomaly_score) AS max_score, bool_or(anomaly_score >= 40) AS any_suspect FROM composite s JOIN k_account k ON k.id = s.account_id GROUP BY 1", KNN)
 def customer_anomaly(k):
     own = k.account.select(F.col("id").alias("account_id"), "customer_id")
-    return A.rule_score(stats(k)).join(own, "account_id").groupBy("customer_id").agg(F.max("rule_score").alias("max_score"), F.bool_or(F.col("rule_score") >= 40).alias("any_suspect"))
+    return knn_anomaly(k).join(own, "account_id").groupBy("customer_id").agg(F.max("anomaly_score").alias("max_score"), F.bool_or("is_mule_suspect").alias("any_suspect"))
+
+
+@query(f"SELECT account_id, {even('ptr', 3)} AS pass_through_ratio, {RULES} AS rule_score FROM stats WHERE {RULES} >= 40 ORDER BY rule_score DESC, account_id LIMIT 50", STATS)
+def rule_suspects(k):
+    return A.rule_score(stats(k)).where("rule_score >= 40").orderBy(F.desc("rule_score"), "account_id").select("account_id", "pass_through_ratio", "rule_score").limit(50)
 
 
 @query(
@@ -166,13 +190,33 @@ CMI = f"""o AS (SELECT customer_id, sum(amount) AS outbound, count(*) FILTER (am
 
 
 @query(
-    """SELECT customer_id, turnover BETWEEN 0.7 AND 1.3 AND inbound > 1000 AS is_pass_through, unique_senders, turnover > 0.8 AND outbound > 5000 AS rapid_disbursement, dormant_accounts, structuring, score AS mule_score, score >= 50 AS is_likely_mule FROM ms""",
+    f"""SELECT customer_id, {even("inbound", 6)} AS inbound, {even("outbound", 6)} AS outbound, {even("turnover", 6)} AS turnover_ratio, turnover BETWEEN 0.7 AND 1.3 AND inbound > 1000 AS is_pass_through, unique_senders, turnover > 0.8 AND outbound > 5000 AS rapid_disbursement, dormant_accounts, structuring, score AS mule_score, score >= 50 AS is_likely_mule FROM ms""",
     CMI,
 )
 def customer_mule_indicators(k):
-    return A.customer_mule_indicators(k.account, k.txn, AS_OF, SINCE_30D).drop("inbound", "outbound", "turnover_ratio")
+    out = A.customer_mule_indicators(k.account, k.txn, AS_OF, SINCE_30D)
+    return out.withColumns({c: half_even(F.col(c), 6) for c in ("inbound", "outbound", "turnover_ratio")})
+
+
+BOTH = f"{KNN}, {NODE_STATS}, graph_flags AS (SELECT account_id, fraud_ratio >= 0.30 OR pattern_count >= 2 OR (unique_senders >= 5 AND ptr BETWEEN 0.7 AND 1.5 AND in_volume > 10000) AS is_mule FROM rated)"
+
 
+def _detectors(k):
+    """(account_id, anomaly_score, is_mule_suspect, is_mule): what the nearest-neighbour composite and the graph rules say."""
+    return knn_anomaly(k).join(A.mule_labels(node_stats(k)).select("account_id", "is_mule"), "account_id")
 
-@query("SELECT account_id FROM stats WHERE unique_senders >= 5 INTERSECT SELECT sender_account_id FROM k_txn WHERE is_fraud", STATS)
+
+@query("SELECT account_id FROM composite WHERE anomaly_score >= 40 INTERSECT SELECT account_id FROM graph_flags WHERE is_mule", BOTH)
 def flagged_by_both(k):
-    return stats(k).where("unique_senders >= 5").select("account_id").intersect(k.txn.where("is_fraud").select(F.col("sender_account_id").alias("account_id")))
+    return _detectors(k).where("is_mule_suspect and is_mule").select("account_id")
+
+
+@query(
+    f"SELECT {even('avg(CASE WHEN (anomaly_score >= 40) = coalesce(is_mule, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100', 1)} AS agreement_pct, count(*) AS n FROM (SELECT * FROM composite JOIN graph_flags USING (account_id) ORDER BY anomaly_score DESC, account_id LIMIT 200)",
+    BOTH,
+)
+def model_comparison(k):
+    """Agreement of two detectors over the 200 accounts that score highest."""
+    top = _detectors(k).orderBy(F.desc("anomaly_score"), "account_id").limit(200)
+    same = F.coalesce("is_mule_suspect", F.lit(False)) == F.coalesce("is_mule", F.lit(False))
+    return top.agg(half_even(F.avg(F.when(same, 1.0).otherwise(0.0)) * 100, 1).alias("agreement_pct"), F.count("*").alias("n"))

@@ -64,9 +64,18 @@ def shared_device(k):
 USES = "uses AS (SELECT DISTINCT device_id, customer_id FROM k_txn JOIN k_account a ON a.id = sender_account_id WHERE device_id IS NOT NULL)"
 
 
-@query("SELECT a.customer_id, b.customer_id AS other_id, array_to_string(list_sort(list(DISTINCT a.device_id)), ',') AS devices FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id WHERE a.customer_id < 100 GROUP BY 1, 2", USES)
+@query(
+    """SELECT customer_id, other_id, array_to_string(devices, ',') AS devices FROM (SELECT a.customer_id, b.customer_id AS other_id, list_sort(list(DISTINCT a.device_id)) AS devices,
+    row_number() OVER (PARTITION BY a.customer_id ORDER BY count(DISTINCT a.device_id) DESC, b.customer_id) AS n FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id GROUP BY 1, 2) WHERE n <= 15""",
+    USES,
+)
 def shared_device_network(k):
-    return G.shared_device_network(k.txn, k.account).where("customer_id < 100").withColumn("devices", F.array_join(F.transform("devices", lambda x: x.cast("string")), ","))
+    """Each customer's 15 closest others by shared devices, as a client shows them."""
+    from pyspark.sql import Window
+
+    pairs = G.shared_device_network(k.txn, k.account)
+    n = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc(F.size("devices")), "other_id"))
+    return pairs.withColumn("n", n).where("n <= 15").select("customer_id", "other_id", F.array_join(F.transform("devices", lambda x: x.cast("string")), ",").alias("devices"))
 
 
 @query("SELECT a.customer_id, b.customer_id AS other_id, array_to_string(list_sort(list(DISTINCT a.device_id)), ',') AS devices FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id GROUP BY 1, 2", USES)
@@ -75,19 +84,19 @@ def shared_device_network_all(k):
 
 
 @query(
-    """SELECT a.customer_id, b.customer_id AS other_id, 'SHARED_DEVICE' AS kind FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id WHERE a.customer_id = 42
-    UNION SELECT s.customer_id, r.customer_id, 'COUNTERPARTY' FROM k_txn t JOIN k_account s ON s.id = t.sender_account_id JOIN k_account r ON r.id = t.receiver_account_id WHERE s.customer_id = 42 AND r.customer_id <> 42""",
+    """SELECT a.customer_id, b.customer_id AS other_id, 'SHARED_DEVICE' AS kind FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id
+    UNION SELECT s.customer_id, r.customer_id, 'COUNTERPARTY' FROM k_txn t JOIN k_account s ON s.id = t.sender_account_id JOIN k_account r ON r.id = t.receiver_account_id WHERE r.customer_id <> s.customer_id""",
     USES,
 )
 def network_connections(k):
-    return G.network_connections(k.txn, k.account, 42)
+    return G.network_connections(k.txn, k.account)
 
 
-NODES = f"{EDGES}, nodes AS (SELECT id FROM k_account WHERE id % 3 = 0), inside AS (SELECT src, dst FROM edges WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), graph AS (SELECT src, dst, count(*) AS weight FROM (SELECT src, dst FROM inside UNION ALL SELECT dst, src FROM inside) GROUP BY 1, 2)"
+NODES = f"{EDGES}, nodes AS (SELECT id FROM k_account WHERE balance > 0), inside AS (SELECT src, dst FROM edges WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)), graph AS (SELECT src, dst, count(*) AS weight FROM (SELECT src, dst FROM inside UNION ALL SELECT dst, src FROM inside) GROUP BY 1, 2)"
 
 
 def _nodes(k):
-    return k.account.where("id % 3 = 0").select(F.col("id").alias("account_id"), F.col("balance").alias("h"))
+    return k.account.where("balance > 0").select(F.col("id").alias("account_id"), F.col("balance").alias("h"))
 
 
 @query("SELECT src, dst, weight FROM graph", NODES)
@@ -95,7 +104,7 @@ def induced_subgraph(k):
     return G.induced_subgraph(_nodes(k), k.txn)
 
 
-@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 6)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst WHERE a.id % 3 = 0 GROUP BY 1", NODES)
+@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 6)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst WHERE a.balance > 0 GROUP BY 1", NODES)
 def neighbor_mean(k):
     return G.neighbour_mean(_nodes(k), G.induced_subgraph(_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 6))
 

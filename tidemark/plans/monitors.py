@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.risk import fits_band, half_even
 from tidemark.operators import evaluation as E
 from tidemark.operators import monitoring as M
-from tidemark.plans.base import even, query
+from tidemark.plans.base import ORACLE_SQL, even, query
 from tidemark.plans.scores import CONTEXT, FEATURES, full_context
 from tidemark.sources.adapter import AS_OF, EVENTS_AS_OF
 
@@ -194,7 +194,7 @@ def training_features_proxy(k):
     )
 
 
-@query()
+@query("SELECT is_fraud, is_test, CASE WHEN is_test THEN t ELSE n - t END AS n FROM (SELECT is_fraud, count(*) AS n, CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS t FROM k_txn GROUP BY 1) CROSS JOIN (VALUES (true), (false)) v(is_test)")
 def stratified_split(k):
     out = E.split(k.txn.select("id", "is_fraud"), "id", "is_fraud")
     return out.groupBy("is_fraud", "is_test").agg(F.count("*").alias("n"))
@@ -213,7 +213,7 @@ def linear_svm(k):
     from tidemark.operators.learning import linear_scores
     from tidemark.operators.scoring import features
 
-    return linear_scores(features(full_context(k), AS_OF).join(k.txn.select("id", "is_fraud"), "id"), "id", list(FEATURES), "is_fraud", rounds=10)
+    return linear_scores(features(full_context(k), AS_OF).join(k.txn.select("id", "is_fraud"), "id"), "id", list(FEATURES), "is_fraud")
 
 
 @query()
@@ -236,10 +236,13 @@ def graph_summary(k):
     return A.graph_summary(k.account, graph_mule_scores(k), knn_anomaly(k))
 
 
-@query(
-    "SELECT CAST(round_even(avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) AS DOUBLE) AS agreement_pct, count(*) AS n FROM (SELECT coalesce(final_score >= 400, false) AS a, coalesce(is_fraud_ground_truth, false) AS b FROM k_log ORDER BY final_score DESC, id LIMIT 200)"
-)
-def model_comparison(k):
+@query("SELECT CAST(round_even(avg(CASE WHEN (final_score >= 400) = coalesce(is_fraud_ground_truth, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100, 2) AS DOUBLE) AS agreement_pct, count(*) AS n FROM (SELECT * FROM k_log ORDER BY final_score DESC, id LIMIT 200)")
+def log_against_truth(k):
     top = k.log.orderBy(F.desc("final_score"), "id").limit(200)
     same = F.coalesce(F.col("final_score") >= 400, F.lit(False)) == F.coalesce("is_fraud_ground_truth", F.lit(False))
     return top.agg(half_even(F.avg(F.when(same, 1.0).otherwise(0.0)) * 100, 2).alias("agreement_pct"), F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (" + ORACLE_SQL["feature_psi"] + ") WHERE psi > 0.05")
+def drifting_features(k):
+    return feature_psi(k).where("psi > 0.05")

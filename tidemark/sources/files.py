@@ -52,8 +52,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old, and those rows of new whose key it does not hold."""
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(new.columns), allowMissingColumns=True)
+    """old, and those rows of new whose key it does not hold; of repeated new rows, the first by all their columns."""
+    order = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in new.columns if c != key))
+    first = new.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return old.unionByName(first.join(old.select(key), key, "left_anti").select(new.columns), allowMissingColumns=True)
 
 
 def set_column(df: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

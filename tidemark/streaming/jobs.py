@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,7 @@ class _Velocity(StatefulProcessor):
     """Keeps a sender's last seven days of (time, amount), up to the watermark's delay more."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", "t long, amount double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -54,17 +57,24 @@ class _Velocity(StatefulProcessor):
         t = new["t"].tolist()
         events = sorted(held + list(zip(t, new["amount"].tolist(), strict=True)))
         times = [e[0] for e in events]
+        sums = [0.0, *accumulate(e[1] for e in events)]
         out = []
-        from bisect import bisect_left
-
         for row_id, at in zip(new["id"].tolist(), t, strict=True):
             end = bisect_left(times, at)  # ties at its own time are left out
             hour, day, week = (bisect_left(times, at - w) for w in (HOUR, DAY, WEEK))
-            out.append((row_id, key[0], end - hour, end - day, end - week, sum(a for _, a in events[day:end]), sum(a for _, a in events[week:end])))
+            out.append((row_id, key[0], end - hour, end - day, end - week, sums[end] - sums[day], sums[end] - sums[week]))
         oldest = min(times[-1], timerValues.getCurrentWatermarkInMs() * 1000 or times[-1]) - WEEK
         self.recent.put([e for e in events if e[0] >= oldest])
+        # an idle sender's rows go when the last of them can count no more
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((times[-1] + WEEK) // 1000 + 1)
         yield pd.DataFrame(out, columns=["id", "sender_account_id", "n_1h", "n_24h", "n_7d", "sum_24h", "sum_7d"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
