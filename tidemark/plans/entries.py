@@ -57,9 +57,9 @@ def last_fifty(k):
 _QUESTION = "CASE id % 3 WHEN 0 THEN 'Did you yourself send ' || m || '?' WHEN 1 THEN 'Who is to receive ' || m || '?' ELSE 'What are the ' || m || ' for?' END"
 
 
-@query(f"SELECT id, {_QUESTION} AS question FROM (SELECT id, 'USD ' || format('{{:,.2f}}', CAST(round_even(amount, 2) AS DOUBLE)) AS m FROM k_txn WHERE status = 'FLAGGED')")
+@query(f"SELECT id, {_QUESTION} AS question FROM (SELECT id, 'USD ' || format('{{:,.2f}}', floor(amount * 100) / 100) AS m FROM k_txn WHERE status = 'FLAGGED')")
 def challenge_questions(k):
-    return k.txn.where("status = 'FLAGGED'").select("id", challenge(F.col("amount"), F.lit(None).cast("string"), F.col("id")).alias("question"))
+    return k.txn.where("status = 'FLAGGED'").select("id", challenge(F.floor(F.col("amount") * 100) / 100, F.lit(None).cast("string"), F.col("id")).alias("question"))
 
 
 _ANSWER = "CASE {} % 4 WHEN 0 THEN ' test ' WHEN 1 THEN 'TEST' WHEN 2 THEN 'tset' END"

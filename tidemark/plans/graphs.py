@@ -104,9 +104,9 @@ def induced_subgraph(k):
     return G.induced_subgraph(_nodes(k), k.txn)
 
 
-@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 6)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst WHERE a.balance > 0 GROUP BY 1", NODES)
+@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 10)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst WHERE a.balance > 0 GROUP BY 1", NODES)
 def neighbor_mean(k):
-    return G.neighbour_mean(_nodes(k), G.induced_subgraph(_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 6))
+    return G.neighbour_mean(_nodes(k), G.induced_subgraph(_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 10))
 
 
 WHOLE = f"{EDGES}, graph AS (SELECT src, dst, count(*) AS weight FROM (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst) WHERE src IN (SELECT id FROM k_account) AND dst IN (SELECT id FROM k_account) GROUP BY 1, 2)"
@@ -121,9 +121,9 @@ def induced_subgraph_all(k):
     return G.induced_subgraph(_all_nodes(k), k.txn)
 
 
-@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 6)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst GROUP BY 1", WHOLE)
+@query(f"SELECT a.id AS account_id, {even('coalesce(sum(b.balance * g.weight) / sum(g.weight), 0)', 10)} AS nb_h FROM k_account a LEFT JOIN graph g ON g.src = a.id LEFT JOIN k_account b ON b.id = g.dst GROUP BY 1", WHOLE)
 def neighbor_mean_all(k):
-    return G.neighbour_mean(_all_nodes(k), G.induced_subgraph(_all_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 6))
+    return G.neighbour_mean(_all_nodes(k), G.induced_subgraph(_all_nodes(k), k.txn), ["h"]).withColumn("nb_h", half_even(F.col("nb_h"), 10))
 
 
 @query(

@@ -205,7 +205,7 @@ def boosted_trees(k):
     from tidemark.operators.learning import gbt_scores
     from tidemark.operators.scoring import features
 
-    return gbt_scores(features(full_context(k), AS_OF).join(k.txn.select("id", "is_fraud"), "id"), "id", list(FEATURES), "is_fraud", rounds=5, depth=4)
+    return gbt_scores(features(full_context(k), AS_OF).join(k.txn.select("id", "is_fraud"), "id"), "id", list(FEATURES), "is_fraud", rounds=40)
 
 
 @query()
