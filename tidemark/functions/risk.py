@@ -82,12 +82,6 @@ def named(*pairs: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in pairs)))
 
 
-def nearest_rank(x: Column, share: float) -> Column:
-    """Aggregate: the value at place floor(n * share) of the sorted values, from 0."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, F.floor(F.size(values) * F.lit(share)).cast("int") + 1)
-
-
 def truthy(text: Column) -> Column:
     """Whether a text says yes: true, 1, yes or y, whatever the case and blanks around."""
     return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes", "y"), F.lit(False))

@@ -216,6 +216,22 @@ def linear_svm(k):
     return linear_scores(features(full_context(k), AS_OF).join(k.txn.select("id", "is_fraud"), "id"), "id", list(FEATURES), "is_fraud")
 
 
+@query()
+def trained_ensemble(k):
+    """The Bayesian score and those of the two trained models, the outcome of all three, and how far they agree."""
+    from tidemark.operators import scoring as S
+    from tidemark.operators.learning import gbt_scores, linear_scores, settled
+
+    context = settled(full_context(k))
+    rows = S.features(context, AS_OF).join(k.txn.select("id", "is_fraud"), "id")
+    trees = gbt_scores(rows, "id", list(FEATURES), "is_fraud", rounds=20).select("id", F.col("score").alias("ml_score"))
+    line = linear_scores(rows, "id", list(FEATURES), "is_fraud").select("id", F.col("score").alias("svm_score"))
+    scored = S.bayesian(context, AS_OF).join(trees, "id").join(line, "id")
+    value, words = S.agreement(F.array(*(F.col(c).cast("double") for c in ("bayesian_score", "ml_score", "svm_score"))))
+    models = scored.select("id", "ml_score", "svm_score", value.alias("agreement"), words.alias("words"))
+    return S.risk_outcome(scored, F.col("ml_score"), F.col("svm_score")).join(models, "id")
+
+
 @query()
 def graph_mule_scores(k):
     from tidemark.operators import accounts as A
