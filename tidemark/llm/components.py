@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, drop
 
+#: Tasks that a node's neighbours are dealt to.
+SALTS = 64
+
 
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node long, component long) for every node of the edges (u long, v long); component is the smallest node reachable.
@@ -35,15 +38,21 @@ def _state(e: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): the pairs with the least v of their u. A node's pairs are dealt to SALTS tasks; what meets by node alone is one row of each."""
+    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = parts.select("u", "salt", F.min("m").over(Window.partitionBy("u")).alias("m"))
+    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to the least of the node and its neighbours."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the least of these."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v"))))
+    return _with_least(e).select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
