@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bytebpe import decode_ids, encode_texts
 from tidemark.llm.common import table
 from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.decontaminate import contaminated
@@ -64,9 +65,17 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    out = decode_ids(encoded.withColumn("again", F.col("ids")), ranks)
+    ids = F.array_join(F.col("again").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("again").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_simhash, op3_preference, op4_langid, op5_embeddings, op6_quality, op7_decontaminate, op8_linededup, op9_sharding, op10_records)
+    for f in (op1_sentencepiece, op2_simhash, op3_preference, op4_langid, op5_embeddings, op6_quality, op7_decontaminate, op8_linededup, op9_sharding, op10_records, op13_bytebpe)
 }
 
 _TURN = "'<|im_start|>' || {} || chr(10) || {} || '<|im_end|>' || chr(10)"
