@@ -108,7 +108,7 @@ def stretches(text: str) -> list[str]:
     cut = text.replace(" ", CUT + " ").replace("\n", CUT + "\n")
     if "  " in text or "\n\n" in text or "\n " in text or " \n" in text or _ODD_BLANK.search(text):
         cut = _BLANK_CUT.sub(r"\1", cut)
-    return cut.split(CUT)
+    return cut.removeprefix(CUT).split(CUT)
 
 
 class ByteEncoder:
@@ -125,13 +125,14 @@ class ByteEncoder:
         self.ids = array("i", sorted(ranks.values()))
         self.pattern = regex.compile(pattern)
         self.cut = stretches if pattern == CUTTABLE else self.words
-        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.newer = regex.compile(f"[{newer or UNASSIGNED}]")
+        self.first_newer = min(re.findall(r"[^-]", newer.encode().decode("unicode_escape")), default=UNASSIGNED)
         self.letters = dict(enumerate(byte_characters()))
         self.kept: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens: matches of the pattern, with characters of newer Unicode tables as if unassigned."""
-        shown = text if self.newer is None or text.isascii() else self.newer.sub(UNASSIGNED, text)
+        shown = text if text.isascii() or max(text) < self.first_newer else self.newer.sub(UNASSIGNED, text)
         if shown == text and not self.pattern.groups:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(shown)]
@@ -147,9 +148,10 @@ class ByteEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = self._encoded(list(set().union(*cut).difference(self.kept)))
+        used = set().union(*cut)
+        if len(self.kept) > KEPT_WORDS:  # those in use again stay
+            self.kept = {part: self.kept[part] for part in used if part in self.kept}
+        new = self._encoded(list(used.difference(self.kept)))
         self.kept.update(new)
         out = [b"".join(map(self.kept.__getitem__, parts)) for parts in cut]
         for part in new:
@@ -210,6 +212,7 @@ def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
         if ranks not in _surfaces:
             _surfaces[ranks] = surfaces(read_ranks(ranks))
         surface = _surfaces[ranks].__getitem__
-        return pa.array([None if ids is None else b"".join(map(surface, ids)) for ids in rows.to_pylist()], pa.binary())
+        own = (None if not ids.is_valid else b"".join(map(surface, ids.values.to_numpy().tolist())) for ids in rows)
+        return pa.array(list(own), pa.binary())
 
     return _replaced(encoded, "ids", "decoded", BinaryType(), convert)

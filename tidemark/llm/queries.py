@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.alignment import align, link_counts, link_scores
 from tidemark.llm.bytebpe import decode_ids, encode_texts
 from tidemark.llm.common import table
 from tidemark.llm.crosspolytope import near_vectors
@@ -20,6 +21,7 @@ from tidemark.llm.records import token_records
 from tidemark.llm.sentencepiece_fst import encode_documents
 from tidemark.llm.sharding import shard
 from tidemark.llm.simhash import simhash_dedup
+from tidemark.llm.vectorcodes import compress, label_errors
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,20 @@ def op10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    scores = link_scores(aligned, link_counts(aligned))
+    numbers = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")]
+    own = aligned.select("row", "doc_id", *numbers, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+    linked = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
+    return own.join(scores, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *linked, "groups_sha256")
+
+
+def op12_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    return label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
 def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -75,7 +91,7 @@ def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_simhash, op3_preference, op4_langid, op5_embeddings, op6_quality, op7_decontaminate, op8_linededup, op9_sharding, op10_records, op13_bytebpe)
+    for f in (op1_sentencepiece, op2_simhash, op3_preference, op4_langid, op5_embeddings, op6_quality, op7_decontaminate, op8_linededup, op9_sharding, op10_records, op11_alignment, op12_vectorcodes, op13_bytebpe)
 }
 
 _TURN = "'<|im_start|>' || {} || chr(10) || {} || '<|im_end|>' || chr(10)"
