@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.risk import alert_level, count_if, half_even
+from tidemark.operators.quantiles import nearest_ranks
 
 EPSILON = 1e-6
 
@@ -20,17 +21,6 @@ def outcome_trend(log: DataFrame) -> DataFrame:
     return log.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(*(count_if(o == x).alias(x.lower()) for x in ("ALLOW", "CHALLENGE", "DECLINE")), F.count("*").alias("total"))
 
 
-def _nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """(bucket, a column for each share): the value at place floor(n * share) of a bucket's sorted values, from 0; nulls are left out.
-
-    Equal values are counted before a bucket's meet in one order, so what a task gets is distinct values.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy("bucket", value).agg(F.count("*").alias("k"))
-    of = Window.partitionBy("bucket")
-    placed = counts.select("bucket", value, F.sum("k").over(of.orderBy(value)).alias("upto"), F.sum("k").over(of).alias("n"))
-    return placed.groupBy("bucket").agg(*(F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(share)), F.col(value))).alias(name) for name, share in shares.items()))
-
-
 def bucket_stats(log: DataFrame, unit: str = "day", digits: int = 2) -> DataFrame:
     """By hour or day: counts, mean and nearest-rank percentiles of score and latency, which are null in a bucket without values."""
     pattern = "yyyy-MM-dd" if unit == "day" else "yyyy-MM-dd'T'HH:00"
@@ -40,7 +30,7 @@ def bucket_stats(log: DataFrame, unit: str = "day", digits: int = 2) -> DataFram
         half_even(F.avg("processing_time_ms"), digits).alias("avg_ms"),
     )
     for value, shares in (("final_score", {"p50": 0.5, "p95": 0.95}), ("processing_time_ms", {"p95_ms": 0.95})):
-        ranks = _nearest_ranks(rows, value, shares).withColumnRenamed("bucket", "__bucket")
+        ranks = nearest_ranks(rows, ["bucket"], value, shares).drop("n").withColumnRenamed("bucket", "__bucket")
         stats = stats.join(ranks, F.col("bucket").eqNullSafe(F.col("__bucket")), "left").drop("__bucket")
     return stats.select("bucket", "n", "avg_score", "p50", "p95", "allow", "challenge", "decline", "avg_ms", "p95_ms")
 

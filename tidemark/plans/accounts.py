@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.risk import count_if, half_even
 from tidemark.operators import accounts as A
 from tidemark.operators import evaluation as E
+from tidemark.operators import ivfpq as I
 from tidemark.operators import nearest as N
+from tidemark.operators import pivots as P
+from tidemark.operators.learning import settled
 from tidemark.plans.base import NOW, SINCE_30D, even, query
 from tidemark.plans.graphs import NODE_STATS, node_stats
 from tidemark.sources.adapter import AS_OF
@@ -56,7 +59,7 @@ def standard_scale(k):
 
 
 def composite(k):
-    s = stats(k)
+    s = settled(stats(k))
     return N.anomaly(A.account_vectors(s), A.rule_score(s), V)
 
 
@@ -66,7 +69,7 @@ def _nearest(rows: str, index: str, columns: list[str]) -> str:
     return f"(SELECT account_id, avg(d) AS distance FROM (SELECT a.account_id, {d} AS d, row_number() OVER (PARTITION BY a.account_id ORDER BY {d}) AS n FROM {rows} a CROSS JOIN {index} b) WHERE n <= 7 GROUP BY 1)"
 
 
-KNN = f"""{STATS}, {VECTORS}, knn_page AS (SELECT * FROM vectors ORDER BY account_id LIMIT {N.REFERENCE}), normal AS (SELECT * FROM knn_page WHERE v0 < 0.6 OR (SELECT count(*) FROM knn_page WHERE v0 < 0.6) < 10),
+KNN = f"""{STATS}, {VECTORS}, normal AS (SELECT * FROM vectors WHERE v0 < 0.6 OR (SELECT count(*) FROM vectors WHERE v0 < 0.6) < 10),
     moments AS (SELECT {", ".join(f"avg({v}) AS m_{v}, coalesce(nullif(stddev_pop({v}), 0), 1) AS s_{v}" for v in V)} FROM normal), scaled AS (SELECT account_id, {", ".join(f"({v} - m_{v}) / s_{v} AS {v}" for v in V)} FROM vectors CROSS JOIN moments),
     knn_index AS (SELECT * FROM scaled WHERE account_id IN (SELECT account_id FROM normal)), dist AS {_nearest("scaled", "knn_index", V)}, p95 AS (SELECT coalesce(nullif(quantile_cont(distance, 0.95), 0), 1) AS p FROM dist WHERE account_id IN (SELECT account_id FROM normal)),
     composite AS (SELECT account_id, least(100, distance / p * 50) AS raw, {RULES} AS rule_score, {even(f"0.5 * least(100, distance / p * 50) + 0.5 * ({RULES})", 1)} AS anomaly_score FROM dist CROSS JOIN p95 JOIN stats USING (account_id))"""
@@ -85,10 +88,18 @@ def knn_classify(k):
     return N.classify(k.raw("embeddings"), "vec_id", "embedding", "label")
 
 
-@query(f"SELECT account_id, {even('distance', 4)} AS distance FROM {_nearest('vectors', f'(SELECT * FROM vectors ORDER BY account_id LIMIT {N.REFERENCE})', V)}", f"{STATS}, {VECTORS}")
+@query()
+def knn_classify_indexed(k):
+    """Labels from an inverted file with product codes, which looks at as many cells as 0.95 of the neighbours of a sample need."""
+    rows = k.raw("embeddings")
+    index = I.build(rows, "vec_id", "embedding", "label")
+    return I.classify(rows, index, "vec_id", "embedding", probes=I.probes_for(index))
+
+
+@query(f"SELECT account_id, {even('distance', 4)} AS distance FROM {_nearest('vectors', 'vectors', V)}", f"{STATS}, {VECTORS}")
 def knn_distance(k):
-    v = A.account_vectors(stats(k))
-    return N.mean_distance(v, N.reference(v, "account_id"), "account_id", V).withColumn("distance", half_even(F.col("distance"), 4))
+    v = A.account_vectors(stats(k)).select("account_id", F.array(*V).alias("x"))
+    return P.mean_distances(v, P.build(v), "account_id").select("account_id", half_even(F.col("distance"), 4).alias("distance"))
 
 
 @query("SELECT account_id FROM (SELECT sender_account_id AS account_id, count(*) FILTER (is_fraud) / count(*) AS rate FROM k_txn GROUP BY 1) WHERE rate >= 0.30")
