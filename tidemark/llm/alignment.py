@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
-from dataclasses import dataclass
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from tidemark.llm.bytebpe import byte_characters, stretches
 from tidemark.llm.common import cut, hint_small, small_batches
 from tidemark.llm.sentencepiece_fst import MARK, Model
 
-KEPT_STRETCHES, KEPT_MOVES, LONG = 500_000, 2_000_000, 64
+KEPT_STRETCHES, KEPT_MOVES, LONG = 400_000, 2_000_000, 64
 #: Links of which a pair holds more than this share are frequent: there are fewer of such pairs than its inverse, whatever the corpus.
 FREQUENT = 1e-5
 NEITHER, A, B = 0, 1, 2
@@ -67,14 +66,14 @@ class Transducer:
         if len(self.moves) > KEPT_MOVES:
             self.clear()
         out, state, i, j, from_i, from_j = [], 0, 0, 0, 0, 0
-        moves, states = self.moves, self.states
-        while i < len(a) or j < len(b):
-            if states[state][0] == A:
-                if j == len(b):
+        moves, states, n_a, n_b = self.moves, self.states, len(a), len(b)
+        while i < n_a or j < n_b:
+            if state and states[state][0] == A:
+                if j == n_b:
                     return None
                 token, j = b[j], j + 1
             else:
-                if i == len(a):
+                if i == n_a:
                     return None
                 token, i = a[i], i + 1
             after = moves.get((state, token))
@@ -87,14 +86,9 @@ class Transducer:
         return out if state == 0 else None
 
 
-@dataclass
-class Emitted:
-    """What a stretch emits: its groups as text, numbers of tokens, and for each group its link, id of A << 32 | id of B."""
-
-    groups: str
-    n_a: int
-    n_b: int
-    links: tuple[int, ...]
+#: What a text or stretch emits: its groups as text, numbers of tokens (of A << 32 | of B), and for each group its link (id of A << 32 | id of B) as 64-bit integers.
+Emitted = tuple[str, int, bytes]
+_NOTHING: Emitted = ("", 0, b"")
 
 
 class Aligner:
@@ -121,7 +115,7 @@ class Aligner:
         b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() for p, is_byte in pieces]
         self.transducer = Transducer(a_bytes, b_bytes)
         self.cuttable = self._cuttable(json.loads(self.a.to_str()), b)
-        self.kept: dict[str, Emitted | None] = {}
+        self.kept: dict[str, Emitted] = {}
 
     @staticmethod
     def _cuttable(parts: dict, b: str) -> bool:
@@ -137,54 +131,44 @@ class Aligner:
 
     def _emit(self, parts: list[str], b_ids: list[list[int]]) -> list[Emitted | None]:
         out: list[Emitted | None] = []
-        a_bytes = self.transducer.bytes[A]
+        a_bytes = self.transducer.bytes[A].__getitem__
         for part, a, b in zip(parts, self.a.encode_batch_fast(parts, add_special_tokens=False), b_ids, strict=True):
-            groups = self.transducer.run(a.ids, b)
-            if groups is None or b"".join(map(a_bytes.__getitem__, a.ids)) != part.encode("utf-8", "replace"):
+            ids = a.ids
+            groups = self.transducer.run(ids, b)
+            if groups is None or b"".join(map(a_bytes, ids)) != part.encode("utf-8", "replace"):
                 out.append(None)
                 continue
-            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-            out.append(Emitted(text, len(a.ids), len(b), tuple(x[-1] << 32 | y[-1] for x, y in groups)))
+            text = ";".join([f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
+            out.append((text, len(ids) << 32 | len(b), array("q", [x[-1] << 32 | y[-1] for x, y in groups]).tobytes()))
         return out
 
-    def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, dict[int, int]]]:
-        """(n_a, n_b, n_groups, groups, link -> its number) of each text."""
+    def align(self, texts: list[str | None]) -> list[Emitted]:
+        """What each text emits; nothing where a tokenizer drops or changes a byte."""
         if not self.cuttable:
             there = [t for t in texts if t]
             found = iter(self._emit([f" {t}" for t in there], self.b.encode(there, num_threads=1)))
-            return [_summed([e]) if t and (e := next(found)) else _NOTHING for t in texts]
+            return [(next(found) or _NOTHING) if t else _NOTHING for t in texts]
         cuts = [stretches(f" {t}") if t else [] for t in texts]
         used = set().union(*cuts)
         if len(self.kept) > KEPT_STRETCHES:  # those in use again stay
             self.kept = {part: self.kept[part] for part in used if part in self.kept}
         new = list(used.difference(self.kept))
-        self.kept.update(zip(new, self._emit(new, self.inner.encode(new, num_threads=1)), strict=True))
+        emitted = self._emit(new, self.inner.encode(new, num_threads=1))
+        bad = {part for part, e in zip(new, emitted, strict=True) if e is None}
+        self.kept.update((part, e) for part, e in zip(new, emitted, strict=True) if e is not None)
         out = []
         for parts in cuts:
-            own = list(map(self.kept.__getitem__, parts))
-            out.append(_NOTHING if not own or None in own else _summed(own, parts, self.kept))
+            if not parts or bad and not bad.isdisjoint(parts):
+                out.append(_NOTHING)
+            else:
+                groups, sizes, links = zip(*map(self.kept.__getitem__, parts), strict=True)
+                out.append((";".join(groups), sum(sizes), b"".join(links)))
         for part in new:
             if len(part) > LONG:
-                del self.kept[part]
+                self.kept.pop(part, None)
         return out
 
 
-_NOTHING: tuple[int, int, int, str, dict[int, int]] = (0, 0, 0, "", {})
-
-
-def _summed(own: list[Emitted], parts: list[str] | None = None, kept: dict[str, Emitted] | None = None) -> tuple[int, int, int, str, dict[int, int]]:
-    """What a text emits, from its stretches in order; with their names, each different one is counted once."""
-    links: dict[int, int] = {}
-    n_a = n_b = n_groups = 0
-    for e, n in ((kept[s], n) for s, n in Counter(parts).items()) if parts else ((e, 1) for e in own):
-        n_a += n * e.n_a
-        n_b += n * e.n_b
-        n_groups += n * len(e.links)
-        for x in e.links:
-            links[x] = links.get(x, 0) + n
-    return n_a, n_b, n_groups, ";".join([e.groups for e in own]), links
-
-
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -207,12 +191,13 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             n = batch.num_rows
-            n_a, n_b, n_groups, groups, links = zip(*_aligners[a, b].align(batch.column(1).to_pylist()), strict=True) if n else ((), (), (), (), ())
-            ends = pa.array(np.cumsum([0, *map(len, links)]).astype(np.int32))
-            pairs = np.fromiter((x for d in links for x in d), np.int64)
-            times = np.fromiter((x for d in links for x in d.values()), np.int32)
-            ints = [pa.array(x, pa.int32()) for x in (n_a, n_b, n_groups)]
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pairs, times)]
+            groups, sizes, links = zip(*_aligners[a, b].align(batch.column(1).to_pylist()), strict=True) if n else ((), (), ())
+            n_groups = [len(x) // 8 for x in links]
+            counted = [np.unique(np.frombuffer(x, np.int64), return_counts=True) for x in links]
+            ends = pa.array(np.cumsum([0, *(len(p) for p, _ in counted)]).astype(np.int32))
+            pairs, times = (np.concatenate([c[k] for c in counted]) if n else np.zeros(0) for k in (0, 1))
+            ints = [pa.array(x, pa.int32()) for x in ([s >> 32 for s in sizes], [s & 0xFFFFFFFF for s in sizes], n_groups)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(kind))) for x, kind in ((pairs, np.int64), (times, np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), *ints, pa.array(n_groups, pa.int64()), pa.array(groups, pa.string()), *lists], ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
             row += n
 
