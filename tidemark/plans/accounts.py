@@ -11,7 +11,7 @@ from tidemark.operators import evaluation as E
 from tidemark.operators import ivfpq as I
 from tidemark.operators import nearest as N
 from tidemark.operators import pivots as P
-from tidemark.operators.learning import settled
+from tidemark.operators.tables import settled
 from tidemark.plans.base import NOW, SINCE_30D, even, query
 from tidemark.plans.graphs import NODE_STATS, node_stats
 from tidemark.sources.adapter import AS_OF

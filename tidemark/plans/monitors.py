@@ -220,7 +220,8 @@ def linear_svm(k):
 def trained_ensemble(k):
     """The Bayesian score and those of the two trained models, the outcome of all three, and how far they agree."""
     from tidemark.operators import scoring as S
-    from tidemark.operators.learning import gbt_scores, linear_scores, settled
+    from tidemark.operators.learning import gbt_scores, linear_scores
+    from tidemark.operators.tables import settled
 
     context = settled(full_context(k))
     rows = S.features(context, AS_OF).join(k.txn.select("id", "is_fraud"), "id")
