@@ -21,9 +21,11 @@ from tidemark.llm.bytebpe import byte_characters, stretches
 from tidemark.llm.common import cut, hint_small, small_batches
 from tidemark.llm.sentencepiece_fst import MARK, Model
 
-KEPT_STRETCHES, KEPT_MOVES, LONG = 400_000, 2_000_000, 64
+KEPT_STRETCHES, KEPT_MOVES, LONG = 300_000, 2_000_000, 64
 #: Links of which a pair holds more than this share are frequent: there are fewer of such pairs than its inverse, whatever the corpus.
 FREQUENT = 1e-5
+#: Stretches encoded at a time: the library's results are large.
+ENCODED = 2_000
 NEITHER, A, B = 0, 1, 2
 ALIGNED = "row long, doc_id long, n_a int, n_b int, n_groups int, n_links long, groups string, pairs array<long>, times array<int>"
 
@@ -38,7 +40,9 @@ class Transducer:
     def clear(self) -> None:
         self.states: list[tuple[int, bytes]] = [(NEITHER, b"")]
         self.numbers = {(NEITHER, b""): 0}
-        self.moves: dict[tuple[int, int], int] = {}
+        #: For each state whether B trails, and the state after each token read so far.
+        self.reads_b, self.moves = [False], [{}]
+        self.known = 0
 
     def _move(self, state: int, token: int) -> int:
         """The state after a token of the side that trails (of A where neither leads); -1 if its bytes differ from the residual."""
@@ -51,39 +55,41 @@ class Transducer:
             after = (leader, residual[len(data) :])
         else:
             after = None
-        if after is None:
-            number = -1
-        else:
+        number = -1
+        if after is not None:
             after = after if after[1] else (NEITHER, b"")
             number = self.numbers.setdefault(after, len(self.states))
             if number == len(self.states):
                 self.states.append(after)
-        self.moves[state, token] = number
+                self.reads_b.append(after[0] == A)
+                self.moves.append({})
+        self.moves[state][token] = number
+        self.known += 1
         return number
 
     def run(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
         """The groups (ids of A, ids of B) of two token sequences; None if their bytes differ."""
-        if len(self.moves) > KEPT_MOVES:
+        if self.known > KEPT_MOVES:
             self.clear()
-        out, state, i, j, from_i, from_j = [], 0, 0, 0, 0, 0
-        moves, states, n_a, n_b = self.moves, self.states, len(a), len(b)
-        while i < n_a or j < n_b:
-            if state and states[state][0] == A:
+        out, state, i, j, from_i, from_j, n_a, n_b = [], 0, 0, 0, 0, 0, len(a), len(b)
+        moves, reads_b = self.moves, self.reads_b
+        while True:
+            if reads_b[state]:
                 if j == n_b:
-                    return None
+                    break
                 token, j = b[j], j + 1
             else:
                 if i == n_a:
-                    return None
+                    break
                 token, i = a[i], i + 1
-            after = moves.get((state, token))
+            after = moves[state].get(token)
             state = self._move(state, token) if after is None else after
-            if state < 0:
-                return None
-            if state == 0:
+            if state <= 0:
+                if state:
+                    return None
                 out.append((a[from_i:i], b[from_j:j]))
                 from_i, from_j = i, j
-        return out if state == 0 else None
+        return out if state == 0 and i == n_a and j == n_b else None
 
 
 #: What a text or stretch emits: its groups as text, numbers of tokens (of A << 32 | of B), and for each group its link (id of A << 32 | id of B) as 64-bit integers.
@@ -114,6 +120,7 @@ class Aligner:
         pieces = ((self.b.id_to_piece(n), self.b.is_byte(n)) for n in range(self.b.get_piece_size()))
         b_bytes = [bytes([int(p[3:5], 16)]) if is_byte else p.replace(MARK, " ").encode() for p, is_byte in pieces]
         self.transducer = Transducer(a_bytes, b_bytes)
+        self.names = [[str(n) for n in range(len(side))] for side in (a_bytes, b_bytes)]
         self.cuttable = self._cuttable(json.loads(self.a.to_str()), b)
         self.kept: dict[str, Emitted] = {}
 
@@ -131,14 +138,14 @@ class Aligner:
 
     def _emit(self, parts: list[str], b_ids: list[list[int]]) -> list[Emitted | None]:
         out: list[Emitted | None] = []
-        a_bytes = self.transducer.bytes[A].__getitem__
+        a_bytes, (name_a, name_b) = self.transducer.bytes[A].__getitem__, self.names
         for part, a, b in zip(parts, self.a.encode_batch_fast(parts, add_special_tokens=False), b_ids, strict=True):
             ids = a.ids
             groups = self.transducer.run(ids, b)
             if groups is None or b"".join(map(a_bytes, ids)) != part.encode("utf-8", "replace"):
                 out.append(None)
                 continue
-            text = ";".join([f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
+            text = ";".join([f"{name_a[x[0]]}|{name_b[y[0]]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
             out.append((text, len(ids) << 32 | len(b), array("q", [x[-1] << 32 | y[-1] for x, y in groups]).tobytes()))
         return out
 
@@ -146,14 +153,17 @@ class Aligner:
         """What each text emits; nothing where a tokenizer drops or changes a byte."""
         if not self.cuttable:
             there = [t for t in texts if t]
-            found = iter(self._emit([f" {t}" for t in there], self.b.encode(there, num_threads=1)))
+            found = (e for t in there for e in self._emit([f" {t}"], [self.b.encode(t)]))
             return [(next(found) or _NOTHING) if t else _NOTHING for t in texts]
         cuts = [stretches(f" {t}") if t else [] for t in texts]
         used = set().union(*cuts)
         if len(self.kept) > KEPT_STRETCHES:  # those in use again stay
             self.kept = {part: self.kept[part] for part in used if part in self.kept}
         new = list(used.difference(self.kept))
-        emitted = self._emit(new, self.inner.encode(new, num_threads=1))
+        emitted: list[Emitted | None] = []
+        for k in range(0, len(new), ENCODED):
+            some = new[k : k + ENCODED]
+            emitted += self._emit(some, self.inner.encode(some, num_threads=1))
         bad = {part for part, e in zip(new, emitted, strict=True) if e is None}
         self.kept.update((part, e) for part, e in zip(new, emitted, strict=True) if e is not None)
         out = []
