@@ -47,6 +47,14 @@ def drop(*dfs: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether the files of a table made by cut() are small enough to broadcast."""
     spark = df.sparkSession
