@@ -83,6 +83,7 @@ def test_query_as_the_plain_version(spark, plain):
 ODD = [
     None, "", " ", "  two  blanks ", "tab\tnew\nline\r\n\n x", "é è ü ß ÑÖ", "日本語テキスト", "emoji 😀👩‍👧 x", "\x00\x01 control", "a b c　d", "<|endoftext|> a<|endoftext|>", "it's we'll don''t", "▁ mark▁inside", "word<s></s><unk>", "<0x41>", "x" * 500,
     "ﬁ ½ ² ﻿ x", "a \n b\n\nc \n", " leading", "trailing ", "\n", "\n\nx", "cut\x1fmark here", "\x1c odd \x1d blanks\x85x", "if (a);\r\n\t{\r\n}", "�", "naïve café", "ab" * 300,
+    "word. Word, word; (word) x.y 3.5, 1,000: end!? ½. ß! ).", "don't, it's. we'll? x!! a.b.c", "word.\n\nword,\t.", "ʰ. ª, ٣.",
 ]
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,13 @@ from tidemark.llm.bytebpe import byte_characters, stretches
 from tidemark.llm.common import cut, hint_small, small_batches
 from tidemark.llm.sentencepiece_fst import MARK, Model
 
-KEPT_STRETCHES, KEPT_MOVES, LONG = 300_000, 2_000_000, 64
+KEPT_STRETCHES, KEPT_MOVES, LONG = 250_000, 500_000, 64
 #: Links of which a pair holds more than this share are frequent: there are fewer of such pairs than its inverse, whatever the corpus.
 FREQUENT = 1e-5
 #: Stretches encoded at a time: the library's results are large.
 ENCODED = 2_000
+#: Marks that are looked at by themselves where they end a stretch.
+MARKS = ".,;:!?)"
 NEITHER, A, B = 0, 1, 2
 ALIGNED = "row long, doc_id long, n_a int, n_b int, n_groups int, n_links long, groups string, pairs array<long>, times array<int>"
 
@@ -122,6 +126,10 @@ class Aligner:
         self.transducer = Transducer(a_bytes, b_bytes)
         self.names = [[str(n) for n in range(len(side))] for side in (a_bytes, b_bytes)]
         self.cuttable = self._cuttable(json.loads(self.a.to_str()), b)
+        # a word and the marks after it end tokens of A; of B too, where no piece has the mark after a letter or digit
+        after = {y for n in range(self.b.get_piece_size()) for x, y in pairwise(self.b.id_to_piece(n)) if x.isalnum()}
+        marks = "".join(c for c in MARKS if c not in after)
+        self.marked = re.compile(rf"(.*[A-Za-z0-9À-ÖØ-öø-ÿ])([{re.escape(marks)}]+)").fullmatch if marks else None
         self.kept: dict[str, Emitted] = {}
 
     @staticmethod
@@ -159,13 +167,22 @@ class Aligner:
         used = set().union(*cuts)
         if len(self.kept) > KEPT_STRETCHES:  # those in use again stay
             self.kept = {part: self.kept[part] for part in used if part in self.kept}
-        new = list(used.difference(self.kept))
-        emitted: list[Emitted | None] = []
-        for k in range(0, len(new), ENCODED):
-            some = new[k : k + ENCODED]
-            emitted += self._emit(some, self.inner.encode(some, num_threads=1))
-        bad = {part for part, e in zip(new, emitted, strict=True) if e is None}
-        self.kept.update((part, e) for part, e in zip(new, emitted, strict=True) if e is not None)
+        new, bad = list(used.difference(self.kept)), set()
+        parted = {part: m.groups() for part in new if (m := self.marked(part))} if self.marked else {}
+        whole = list({x for p in new for x in parted.get(p, (p,))}.difference(self.kept))
+        for k in range(0, len(whole), ENCODED):
+            some = whole[k : k + ENCODED]
+            for part, e in zip(some, self._emit(some, self.inner.encode(some, num_threads=1)), strict=True):
+                if e is None:
+                    bad.add(part)
+                else:
+                    self.kept[part] = e
+        for part, (word, marks) in parted.items():
+            if word in bad or marks in bad:
+                bad.add(part)
+            else:
+                (g, n, x), (h, m, y) = self.kept[word], self.kept[marks]
+                self.kept[part] = (f"{g};{h}", n + m, x + y)
         out = []
         for parts in cuts:
             if not parts or bad and not bad.isdisjoint(parts):
@@ -173,7 +190,7 @@ class Aligner:
             else:
                 groups, sizes, links = zip(*map(self.kept.__getitem__, parts), strict=True)
                 out.append((";".join(groups), sum(sizes), b"".join(links)))
-        for part in new:
+        for part in (*new, *whole):
             if len(part) > LONG:
                 self.kept.pop(part, None)
         return out
@@ -191,7 +208,7 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     repeated and null ids keep apart; other columns are not read. The result is written, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 200)
 
     def run(batches):
         from pyspark import TaskContext
