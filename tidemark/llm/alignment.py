@@ -150,7 +150,7 @@ class Aligner:
         for part, a, b in zip(parts, self.a.encode_batch_fast(parts, add_special_tokens=False), b_ids, strict=True):
             ids = a.ids
             groups = self.transducer.run(ids, b)
-            if groups is None or b"".join(map(a_bytes, ids)) != part.encode("utf-8", "replace"):
+            if groups is None or not self.cuttable and b"".join(map(a_bytes, ids)) != part.encode("utf-8", "replace"):  # a cuttable A keeps all bytes
                 out.append(None)
                 continue
             text = ";".join([f"{name_a[x[0]]}|{name_b[y[0]]}" if len(x) == len(y) == 1 else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
