@@ -233,16 +233,21 @@ def trained_ensemble(k):
     return S.risk_outcome(scored, F.col("ml_score"), F.col("svm_score")).join(models, "id")
 
 
+#: Epochs of the registered network; the operator's default is 60.
+SAGE_EPOCHS = 12
+
+
 @query()
 def graph_mule_scores(k):
     from tidemark.operators import accounts as A
     from tidemark.operators import graph as G
     from tidemark.operators.learning import sage_scores
+    from tidemark.operators.tables import settled
     from tidemark.plans.graphs import node_stats
 
     stats = node_stats(k)
-    nodes = A.graph_node_features(stats).join(A.mule_labels(stats).select("account_id", "is_mule"), "account_id")
-    return sage_scores(nodes, G.induced_subgraph(nodes, k.txn), [f"f{n}" for n in range(20)], "is_mule")
+    nodes = settled(A.graph_node_features(stats).join(A.mule_labels(stats).select("account_id", "is_mule"), "account_id"))
+    return sage_scores(nodes, settled(G.induced_subgraph(nodes, k.txn)), [f"f{n}" for n in range(20)], "is_mule", epochs=SAGE_EPOCHS)
 
 
 @query()
