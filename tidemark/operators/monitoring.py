@@ -101,6 +101,29 @@ def score_psi(reference: DataFrame, current: DataFrame) -> DataFrame:
     return _psi(bins, []).select(half_even(F.col("psi"), 6).alias("psi"), alert_level(F.col("psi")).alias("level"))
 
 
+def drift_history(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """(day, n, avg_score, psi, level, direction): for each day of current scores its distance to the reference's, as score_psi(), the level, and whether the mean
+    went up, down or stayed."""
+    bin_ = F.least(F.floor(F.col("final_score") / 100), F.lit(9)).cast("int")
+    good = lambda df: df.where("final_score between 0 and 999")
+    ref = good(reference).groupBy(bin_.alias("bucket")).agg(F.count("*").alias("n_ref"))
+    rows = good(current).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "final_score", bin_.alias("bucket"))
+    cur = rows.groupBy("day", "bucket").agg(F.count("*").alias("n_cur"))
+    days = rows.groupBy("day").agg(F.count("*").alias("n"), F.avg("final_score").alias("mean"))
+    every = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bucket"))
+    psi = _psi(every.join(F.broadcast(ref), "bucket", "left").join(cur, ["day", "bucket"], "left").fillna(0), ["day"])  # ten rows
+    before = good(reference).agg(F.avg("final_score").alias("ref_mean"))
+    change = half_even(F.col("mean") - F.col("ref_mean"), 6)
+    return days.join(psi, "day").crossJoin(before).select(
+        "day", "n", half_even(F.col("mean"), 6).alias("avg_score"), half_even(F.col("psi"), 6).alias("psi"), alert_level(F.col("psi")).alias("level"), F.when(change > 0, "up").when(change < 0, "down").otherwise("same").alias("direction"),
+    )
+
+
+def latest_drift(history: DataFrame) -> DataFrame:
+    """The newest row of drift_history()."""
+    return history.orderBy(F.desc("day")).limit(1)
+
+
 def feature_psi(reference: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """(feature, psi, level, ref_mean, cur_mean, drift) by feature column.
 

@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's name below spark.checkpoint.dir, which all executors share. A session on one machine may do without the setting."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-')}/tidemark-{tag}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
