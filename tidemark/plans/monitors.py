@@ -184,6 +184,21 @@ def pr_threshold(k):
     return E.best_threshold(_labelled(k), "s", "y").select("threshold", half_even(F.col("f1"), 6).alias("f1"))
 
 
+_OF = "SELECT '{0}' AS class, hit / greatest(hit + wrong, 1) AS precision, hit / greatest(hit + missed, 1) AS recall, 2 * hit / greatest(2 * hit + wrong + missed, 1) AS f1, hit + missed AS support FROM (SELECT count(*) FILTER (c = {1} AND y = {1}) AS hit, count(*) FILTER (c = {1} AND y <> {1}) AS wrong, count(*) FILTER (c <> {1} AND y = {1}) AS missed FROM called)"
+REPORT = f"called AS (SELECT s >= 400 AS c, y FROM labelled), classes AS ({_OF.format('legitimate', 'false')} UNION ALL {_OF.format('fraud', 'true')})"
+_MEASURES = ("precision", "recall", "f1")
+
+
+@query(
+    f"""SELECT class, {", ".join(f"{even(m, 6)} AS {m}" for m in _MEASURES)}, support FROM (SELECT * FROM classes UNION ALL SELECT 'macro', {", ".join(f"avg({m})" for m in _MEASURES)}, CAST(sum(support) AS BIGINT) FROM classes
+    UNION ALL SELECT 'weighted', {", ".join(f"sum({m} * support) / sum(support)" for m in _MEASURES)}, CAST(sum(support) AS BIGINT) FROM classes)""",
+    f"{LABELLED}, {REPORT}",
+)
+def classification_report(k):
+    out = E.classification_report(_labelled(k), "s", "y", 400)
+    return out.withColumns({m: half_even(F.col(m), 6) for m in _MEASURES})
+
+
 @query(f"SELECT id, {even(FEATURES['log_amount'], 6)} AS log_amount, CASE WHEN is_fraud THEN 6 ELSE 1 END AS proxy_n_1h, CASE WHEN is_fraud THEN 16 ELSE 2 END AS proxy_n_24h, amount >= 9000 AND amount < 10000 AS proxy_structuring FROM facts", CONTEXT)
 def training_features_proxy(k):
     """Velocity stand-ins taken from the label, as a leak to compare with; the real windows are in txn_features."""
