@@ -119,6 +119,17 @@ def challenge(amount: Column, currency: Column, number: Column) -> Column:
     return F.element_at(F.array(*texts), F.pmod(number, F.lit(len(texts))).cast("int") + 1)
 
 
+def payer_question(amount: Column, currency: Column, payee: Column, number: Column) -> Column:
+    """A question to the payer, one of seven by number, with the payee's name in title case; a missing name is `the payee`."""
+    money = F.concat_ws(" ", F.coalesce(currency, F.lit("USD")), F.format_string("%,.2f", half_even(F.coalesce(amount, F.lit(0.0)), 2)))
+    name = F.coalesce(F.initcap(F.nullif(F.trim(payee), F.lit(""))), F.lit("the payee"))
+    texts = [
+        F.lit("Which code did we just send to your phone?"), F.lit("Which code did we just send to your mail address?"), F.lit("What are the last four digits of your phone number?"), F.concat(F.lit("What are the "), money, F.lit(" meant for?")),
+        F.concat(F.lit("Do you want "), name, F.lit(" to receive "), money, F.lit("?")), F.concat(F.lit("In whose name is the account that receives "), money, F.lit("?")), F.concat(F.lit("Where do the "), money, F.lit(" come from?")),
+    ]
+    return F.element_at(F.array(*texts), F.pmod(number, F.lit(len(texts))).cast("int") + 1)
+
+
 def answered(answer: Column, status: Column) -> Column:
     """Status after an answer to a challenge: COMPLETED for the agreed word whatever its case and the blanks around, else as before."""
     return F.when(F.upper(F.trim(answer)) == "TEST", "COMPLETED").otherwise(status)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.risk import capped, fits_band, flag, half_even, named, ratio, total, whole_days
+from tidemark.functions.risk import capped, fits_band, flag, half_even, named, ratio, whole_days
 from tidemark.operators.graph import internal
 
 # Risk of an account's country for the graph features; 0.2 for all others.
@@ -201,4 +201,4 @@ def customer_mule_indicators(account: DataFrame, txn: DataFrame, as_of: str, sin
     return all_.select("customer_id", "inbound", "outbound", turnover.alias("turnover_ratio"), passes.alias("is_pass_through"), "unique_senders", rapid.alias("rapid_disbursement"), "dormant_accounts", "structuring", score.alias("mule_score"), (score >= 50).alias("is_likely_mule"))
 
 
-__all__ = ["account_stats", "account_vectors", "customer_mule_indicators", "feature_snapshot", "graph_node_features", "graph_node_stats", "graph_summary", "mule_explanation", "mule_labels", "mule_patterns", "rule_score", "total"]
+__all__ = ["account_stats", "account_vectors", "customer_mule_indicators", "feature_snapshot", "graph_node_features", "graph_node_stats", "graph_summary", "mule_explanation", "mule_labels", "mule_patterns", "rule_score"]

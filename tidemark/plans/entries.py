@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.risk import answered, band, bounded, challenge, contributions, count_if, distance_words, fits_band, half_even, named, pages
+from tidemark.functions.risk import answered, band, bounded, challenge, contributions, count_if, distance_words, fits_band, half_even, named, pages, payer_question
 from tidemark.plans.accounts import KNN, SNAP, composite, snapshot
 from tidemark.plans.base import NOW, even, query
 from tidemark.sources.adapter import AS_OF
@@ -62,6 +62,18 @@ def challenge_questions(k):
     return k.txn.where("status = 'FLAGGED'").select("id", challenge(F.floor(F.col("amount") * 100) / 100, F.lit(None).cast("string"), F.col("id")).alias("question"))
 
 
+_SEVEN = """CASE id % 7 WHEN 0 THEN 'Which code did we just send to your phone?' WHEN 1 THEN 'Which code did we just send to your mail address?' WHEN 2 THEN 'What are the last four digits of your phone number?' WHEN 3 THEN 'What are the ' || m || ' meant for?'
+    WHEN 4 THEN 'Do you want ' || coalesce(upper(left(name, 1)) || lower(substr(name, 2)), 'the payee') || ' to receive ' || m || '?' WHEN 5 THEN 'In whose name is the account that receives ' || m || '?' ELSE 'Where do the ' || m || ' come from?' END"""
+
+
+@query(f"SELECT id, {_SEVEN} AS question FROM (SELECT t.id, c.name, 'USD ' || format('{{:,.2f}}', floor(t.amount * 100) / 100) AS m FROM k_txn t LEFT JOIN k_account a ON a.id = t.receiver_account_id LEFT JOIN k_customer c ON c.id = a.customer_id WHERE t.status IN ('FLAGGED', 'PENDING'))")
+def payer_questions(k):
+    """A question for each transaction that is held, with the name of who is to receive it."""
+    held = k.txn.where("status in ('FLAGGED', 'PENDING')").select("id", "amount", F.col("receiver_account_id").alias("to"))
+    names = k.account.select(F.col("id").alias("to"), "customer_id").join(k.customer.select(F.col("id").alias("customer_id"), "name"), "customer_id", "left").select("to", "name")
+    return held.join(names, "to", "left").select("id", payer_question(F.floor(F.col("amount") * 100) / 100, F.lit(None).cast("string"), F.col("name"), F.col("id")).alias("question"))
+
+
 _ANSWER = "CASE {} % 4 WHEN 0 THEN ' test ' WHEN 1 THEN 'TEST' WHEN 2 THEN 'tset' END"
 
 
