@@ -94,6 +94,44 @@ def test_large_groups_are_parted_until_none_is_lost(spark, monkeypatch):
     assert out == {n: want[t] for n, t in enumerate(texts)} and all(out[n][1] == 1 for n in range(20))
 
 
+def test_a_line_that_does_not_lead_its_group_still_leads_a_template(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    texts = [[], [], []]
+    for leaf in "abcdefghijkl":  # the first line alone belongs together with lines of all three texts
+        start = f"leaf {leaf} of"
+        texts[0] += [f"{start} {x} same end" for x in ("one", "two", "six", "ten")]
+        texts[1] += [f"{start} few same end"]
+        texts[2] += [f"{start} one same other"]
+    docs = spark.createDataFrame([(n, "\n".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(docs).collect()} == {0: 48, 1: 12, 2: 12}
+
+
+def chains(rng: random.Random) -> list[str]:
+    """Texts with leaves of lines that drift apart, some of them held by few texts: many belong together with a line that is settled early, or that only others lead to."""
+    texts: list[list[str]] = []
+    for leaf in range(40):
+        n = rng.choice((4, 6, 8, 10, 13, 20))
+        own = [[letters(rng, 4)] for _ in range(rng.choice((2, 3, 9)))]
+        line = [rng.choice("abcdef") for _ in range(n - 3)]
+        for _ in range(rng.choice((6, 25, 40))):
+            line = list(line)
+            for _ in range(rng.randrange(1, 2 + n // 5)):
+                line[rng.randrange(n - 3)] = rng.choice("abcdefghijkl")
+            text = rng.choice(own)
+            text.append(" ".join([f"leaf{'abcdefghij'[leaf % 10]}", "klmno"[leaf // 10], "of", *line]))
+        texts += own
+    return ["\n".join(x) for x in texts]
+
+
+def test_no_line_is_lost_where_families_drift(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    texts = chains(random.Random(8))
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute.line_dedup(texts)
+    assert [n for n, t in enumerate(texts) if out[n] != want[t]] == []
+    assert 0 < sum(n for _, n in out.values()) < sum(t.count("\n") for t in texts)
+
+
 def test_columns_with_names_of_its_own(spark):
     docs = spark.createDataFrame([(n, f"{letters(random.Random(n), 5)}\nthe very same line") for n in range(3)], "doc_id long, text string").selectExpr("*", "1 AS __gone", "2 AS __a", "3 AS __b")
     assert {tuple(r[c] for c in ("__gone", "__a", "__b", "n_dropped")) for r in linededup.dedup_lines(docs).collect()} == {(1, 2, 3, 1)}

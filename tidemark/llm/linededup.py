@@ -11,14 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop, free_name, hint_small
+from tidemark.llm.common import cut, drop, free_name, hint_small, is_small
 
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
 #: Share of places in which a line agrees with its template's leader.
 SIMILAR = 0.7
-#: Lines of a group that are all tried as leaders, at most: so many pairs a line at most.
-SMALL = 16
+#: Lines of a leaf that are all compared, at most; larger groups are compared in blocks of about as many.
+SMALL = 64
+#: Tasks that the lines of a large group are dealt to.
+SALTS = 16
+#: Times that the large groups elect leaders; what is left is compared line by line.
+TURNS = 3
 #: Different texts in which a dropped template occurs.
 LEAST_TEXTS = 3
 #: Tokens of a line in the tree; shorter ones also recur by chance, against which they are judged.
@@ -65,8 +69,10 @@ def _short_recurring(docs: DataFrame, found: DataFrame) -> DataFrame:
     often = uses.where((F.col("texts") >= SHORT_TEXTS) & F.col("line").rlike(r"\p{L}")).select("line_hash", "n", "texts", words("line"))
     often = cut(often.where("word <> ''"), "line-often")
     wanted = cut(often.select("word").distinct(), "line-wanted")
-    counts = _masked(docs).select(words("text")).groupBy("word").agg(F.count("*").alias("uses"))
-    shares = cut(counts.join(hint_small(wanted), "word"), "line-shares")
+    each = _masked(docs).select(words("text"))
+    if is_small(wanted):  # words of no such line are not counted
+        each = each.join(F.broadcast(wanted), "word", "left_semi")
+    shares = cut(each.groupBy("word").agg(F.count("*").alias("uses")).join(hint_small(wanted), "word"), "line-shares")
     by_chance = often.join(shares, "word").crossJoin(found.agg(F.sum("n").alias("all"))).groupBy("line_hash", "n", "texts").agg(F.sum(F.log(F.col("uses") / F.col("all"))).alias("chance"))
     least = LIFT * F.pow(F.lit(float(TOGETHER)), F.col("n") - 1) * F.col("lines") * F.exp("chance")
     out = cut(by_chance.join(of_length, "n").where(F.col("texts") >= least).select("line_hash"), "line-short-recurring")
@@ -87,82 +93,176 @@ def _may_differ(tokens: Column) -> Column:
     return F.size(tokens) - F.ceil(F.lit(SIMILAR) * F.size(tokens)).cast("int")
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """(key, line_hash, texts, agreed, part, whole): rows (line_hash, texts, leaf, agreed, tokens, free) in groups of lines that agree in more places.
+def _keys(lines: DataFrame) -> DataFrame:
+    """(key, leaf, line_hash, whole): lines (leaf, line_hash, tokens) in groups of lines that agree on a part of their places.
 
-    Lines that belong together differ in a bounded number of places. Their free places, of which nothing is known, are parted into one part more
-    than that, so they agree on one part at least, and there meet in a group. whole: so few places are free that all lines of the group belong
-    together. leaf and agreed, a hash, stand for the places that are not free.
+    Lines that belong together differ in a bounded number of places. The places after the leaf's are parted into one part more than that, so they
+    agree on one part at least, and there meet in a group. whole: so few places are left that all lines of the group belong together.
     """
-    size, differ = F.size("free"), _may_differ(F.col("tokens"))
-    start = lambda k: F.floor(k * size / (differ + 1)).cast("int")
-    at = F.transform("free", lambda p: F.element_at("tokens", p + 1))
+    size, differ = F.size("tokens") - DEPTH, _may_differ(F.col("tokens"))
+    start = lambda k: DEPTH + F.floor(k * size / (differ + 1)).cast("int")
     parts = F.when(size > differ, F.sequence(F.lit(0), differ)).otherwise(F.array(F.lit(-1)))
-    laid = rows.select("line_hash", "texts", "leaf", "agreed", "free", at.alias("at"), differ.alias("differ"), F.explode(parts).alias("part"))
-    size, differ = F.size("free"), F.col("differ")
-    mine = lambda c: F.slice(c, start(F.col("part")) + 1, start(F.col("part") + 1) - start(F.col("part")))
-    key = F.when(F.col("part") < 0, F.xxhash64("leaf", "agreed")).otherwise(F.xxhash64("leaf", "agreed", mine("free"), mine("at")))
-    left = F.when(F.col("part") < 0, size).otherwise(size - (start(F.col("part") + 1) - start(F.col("part"))))
-    return laid.select(key.alias("key"), "line_hash", "texts", "agreed", "part", (left <= differ).alias("whole"))
+    laid = lines.select("leaf", "line_hash", "tokens", F.explode(parts).alias("part"))
+    first, after = start(F.col("part")), start(F.col("part") + 1)
+    key = F.when(F.col("part") < 0, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "part", F.slice("tokens", first + 1, after - first)))
+    left = F.when(F.col("part") < 0, size).otherwise(size - (after - first))
+    return laid.select(key.alias("key"), "leaf", "line_hash", (left <= differ).alias("whole"))
 
 
-def _narrowed(rows: DataFrame) -> DataFrame:
-    """rows (..., tokens, free, key, part): without the places of the part among the free ones; key stands for what is agreed."""
-    size, differ = F.size("free"), _may_differ(F.col("tokens"))
-    start = lambda k: F.floor(k * size / (differ + 1)).cast("int")
-    rest = F.concat(F.slice("free", 1, start(F.col("part"))), F.slice("free", start(F.col("part") + 1) + 1, size))
-    return rows.select("line_hash", "texts", "leaf", F.col("key").alias("agreed"), "tokens", rest.alias("free"))
+def _may_differ(tokens: Column) -> Column:
+    """Places in which lines that belong together differ at most."""
+    return F.size(tokens) - F.ceil(F.lit(SIMILAR) * F.size(tokens)).cast("int")
+
+
+def _agreed(a: Column, b: Column) -> Column:
+    """Places in which two lines of a leaf agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
 def _agree(a: Column, b: Column) -> Column:
     """Whether two lines of a leaf agree in so many places that one belongs to the other's template."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= F.ceil(F.lit(SIMILAR) * F.size(a))
+    return _agreed(a, b) >= F.ceil(F.lit(SIMILAR) * F.size(a))
+
+
+def _salt(line_hash: Column) -> Column:
+    return F.pmod(F.xxhash64(line_hash), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _to_all_salts(df: DataFrame) -> DataFrame:
+    """A copy of each row of df for each salt, so that the lines of a large group meet it in several tasks."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) in both directions, each once."""
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
 
-def _recurring_families(pairs: DataFrame, texts: DataFrame, copies: DataFrame | None) -> DataFrame:
-    """(line_hash): the lines of leaders that occur in LEAST_TEXTS texts with all their lines. pairs: (leader, line_hash, most), most the texts of the line or leader with more."""
-    often = pairs.groupBy("leader").agg(F.max("most").alias("most"))
-    known = often.where(F.col("most") >= LEAST_TEXTS).select("leader")
-    rest = pairs.join(known, "leader", "left_anti").select("leader", "line_hash")
-    rest = rest.unionByName(rest.select("leader", F.col("leader").alias("line_hash")).distinct())
-    many = _texts(rest.join(texts, "line_hash").select("leader", "text_a", "text_b"), "leader", copies).where(F.col("texts") >= LEAST_TEXTS).select("leader")
-    good = pairs.select("leader", "line_hash").join(known.unionByName(many), "leader", "left_semi")
-    return good.select("line_hash").unionByName(good.select(F.col("leader").alias("line_hash"))).distinct()
+
+def _spread(pairs: DataFrame, hubs: DataFrame | None, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that lead a recurring template and lines that go with them, (line_hash) each, as far as these relations show it.
+
+    pairs (a, b): lines that belong together, in both directions. hubs (hub, leader, line_hash, salt, inner): lines that belong to the leader, inner
+    ones all to each other. held (line_hash, text_a, text_b, rows): texts that hold a line, with their rows.
+    """
+    enough = lambda df, by: df.groupBy(*by).agg(F.sum("rows").alias("rows"))
+    text = ["text_a", "text_b", "rows"]
+    seen = held.unionByName(pairs.join(held.withColumnRenamed("line_hash", "b"), "b").select(F.col("a").alias("line_hash"), *text))
+    sure = None
+    if hubs is not None:
+        of_hub = hubs.join(held, "line_hash").select("hub", "leader", "inner", *text)
+        leads = enough(of_hub.select("leader", *text).distinct(), ["leader"]).where(F.col("rows") >= LEAST_TEXTS)
+        inner = of_hub.where("inner").select("hub", *text).distinct()
+        in_hub = cut(enough(inner, ["hub"]), "line-hubs")
+        full = _to_all_salts(in_hub.where(F.col("rows") >= LEAST_TEXTS).select("hub"))
+        members = hubs.where("inner").select("hub", "salt", "line_hash")
+        sure = leads.select(F.col("leader").alias("line_hash")).unionByName(members.join(full, ["hub", "salt"]).select("line_hash"))
+        # what is not full has a text or two
+        poor = _to_all_salts(inner.join(in_hub.where(F.col("rows") < LEAST_TEXTS).select("hub"), "hub"))
+        seen = seen.unionByName(members.join(poor, ["hub", "salt"]).select("line_hash", *text))
+    good = enough(seen.distinct(), ["line_hash"]).where(F.col("rows") >= LEAST_TEXTS).select("line_hash")
+    good = cut(good if sure is None else good.unionByName(sure).distinct(), "line-leaders")
+    gone = good.unionByName(pairs.join(good.withColumnRenamed("line_hash", "a"), "a").select(F.col("b").alias("line_hash")))
+    if hubs is not None:
+        by = hubs.join(good, "line_hash")
+        led = _to_all_salts(hubs.select("leader").join(good.withColumnRenamed("line_hash", "leader"), "leader", "left_semi").distinct())
+        with_good = _to_all_salts(by.where("inner").select("hub").distinct())
+        gone = gone.unionByName(by.select(F.col("leader").alias("line_hash"))).unionByName(hubs.join(led, ["leader", "salt"]).select("line_hash"))
+        gone = gone.unionByName(members.join(with_good, ["hub", "salt"]).select("line_hash"))
+    return good, cut(gone.distinct(), "line-gone-with")
+
+
+def _hubs(placed: DataFrame, lines: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
+    """(hub, leader, line_hash, salt, inner): one of the lines open_ (line_hash) of each group leads those of the group that agree with it.
+
+    Lines that differ from a leader in half as many places as they may agree with each other, and so do all lines of a whole group: the inner ones.
+    """
+    order = F.struct(F.xxhash64(F.lit(turn), "line_hash"), "line_hash")
+    heads = placed.join(open_, "line_hash", "left_semi").groupBy("key").agg(F.max(order)["line_hash"].alias("leader"))
+    met = placed.join(_to_all_salts(heads), ["key", "salt"])
+    met = met.select(F.when(F.col("whole"), F.xxhash64("key", F.lit("whole"))).otherwise(F.col("leader")).alias("hub"), "leader", "line_hash", "salt", "whole").distinct()
+    met = cut(met, "line-met")
+    tokens = lines.select("line_hash", "tokens")
+    lead = tokens.join(met.select(F.col("leader").alias("line_hash")).distinct(), "line_hash").select(F.col("line_hash").alias("leader"), F.col("tokens").alias("lead"))
+    far = F.size("tokens") - _agreed(F.col("tokens"), F.col("lead"))
+    near = met.join(tokens, "line_hash").join(_to_all_salts(lead), ["leader", "salt"]).select("hub", "leader", "line_hash", "salt", "whole", far.alias("far"), _may_differ(F.col("tokens")).alias("differ"))
+    out = cut(near.where("far <= differ").select("hub", "leader", "line_hash", "salt", (F.col("whole") | (2 * F.col("far") <= F.col("differ"))).alias("inner")), "line-near")
+    drop(met)
+    return out
+
+
+def _meetings(some: DataFrame, placed: DataFrame, lines: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b): the lines some (line_hash) with each line that belongs together with them but is not of the same hub.
+
+    A leaf's lines meet in the groups of placed or all at once, whichever compares fewer. Large groups are compared in blocks, by tasks.
+    """
+    some = some.select("line_hash").distinct()
+    here = cut(lines.join(some, "line_hash").select("leaf", "line_hash", "lines"), "line-some")
+    at_once = here.groupBy("leaf").agg(F.sum("lines").alias("at_once"))
+    by_key = placed.join(some, "line_hash").groupBy("leaf").agg(F.sum("lines").alias("by_key"))
+    once = at_once.join(by_key, "leaf", "left").where("by_key IS NULL OR at_once <= by_key").select("leaf", F.lit(True).alias("once"))
+    once = cut(once, "line-once")
+    of_key = placed.join(hint_small(once), "leaf", "left_anti").select(F.col("key").alias("group"), "line_hash", "lines")
+    groups = of_key.unionByName(lines.join(hint_small(once), "leaf", "left_semi").select(F.col("leaf").alias("group"), "line_hash", "lines"))
+    main = hubs.where("inner").groupBy("line_hash").agg(F.min("hub").alias("hub"))
+    known = lines.select("line_hash", "tokens").join(main, "line_hash", "left").select("line_hash", "tokens", F.coalesce("hub", "line_hash").alias("hub"))
+    blocks = F.ceil(F.col("lines") / SMALL).cast("int")
+    asked = groups.join(some, "line_hash", "left_semi")
+    wanted = cut(asked.groupBy("group").agg(F.count("*").alias("asked")), "line-asked")
+    left = asked.join(known, "line_hash").select("group", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "line_hash", "tokens", "hub")
+    dealt = groups.withColumn("salt", _salt(F.col("line_hash"))).join(_to_all_salts(wanted.select("group")), ["group", "salt"])
+    dealt = dealt.select("group", F.pmod(F.xxhash64(F.lit(1), "line_hash"), blocks).cast("int").alias("block"), "line_hash").join(known, "line_hash")
+    own = dealt.groupBy("group", "block").agg(F.collect_list(F.struct("line_hash", "tokens", "hub")).alias("own"))
+    fits = F.filter("own", lambda x: (x["hub"] != F.col("hub")) & (x["line_hash"] != F.col("line_hash")) & _agree(x["tokens"], F.col("tokens")))
+    found = left.join(own, ["group", "block"]).select(F.col("line_hash").alias("a"), F.explode(F.transform(fits, lambda x: x["line_hash"])).alias("b"))
+    out = cut(_both(found), "line-meetings")
+    drop(here, once, wanted)
+    return out
 
 
-def _family_lines(left: DataFrame, texts: DataFrame, copies: DataFrame | None) -> DataFrame:
-    """(line_hash): the lines of left (leaf, line_hash, texts, tokens) that recur together with others of their leaf.
+def _family_lines(left: DataFrame, held: DataFrame) -> DataFrame:
+    """(line_hash): the lines of left (leaf, line_hash, tokens) that recur together with others of their leaf. held: see _spread().
 
-    Lines meet in the groups of _keys(). In one of up to SMALL lines each leads those that agree with it; so every line is tried as a template's
-    leader. A larger one elects a leader, to which those that agree with it belong; what recurs by then is settled, and the
-    others meet again in groups that agree in more places, until groups are small or agree as a whole. Each round fixes a place at least, so
-    rounds end, and no two lines that belong together are kept apart in all groups. texts: (line_hash, text_a, text_b) of the lines that do not recur themselves.
+    In a leaf of up to SMALL lines all are compared. In a larger one, lines meet in the groups of _keys(), which elect leaders, so that dense
+    families are settled without comparing all their lines. Then each line that is still left is compared with all it could belong together with, and so
+    are the lines found to belong together with it whose own family is not known yet: it goes if one of these leads a recurring template.
     """
-    rows = left.select("line_hash", "texts", "leaf", F.lit(0).cast("long").alias("agreed"), "tokens", F.sequence(F.lit(DEPTH), F.size("tokens") - 1).alias("free"))
-    tokens, pairs, parts = left.select("line_hash", "tokens"), None, []
-    while True:
-        # hashes alone are dealt; tokens come back for lines that are not alone
-        placed = cut(_keys(rows), "line-keys")
-        sizes = placed.groupBy("key").agg(F.count("*").alias("lines"), F.max(F.struct("texts", "line_hash"))["line_hash"].alias("leader")).where("lines > 1")
-        at = cut(placed.join(sizes, "key"), "line-groups")
-        few = at.where(F.col("lines") <= SMALL).join(tokens, "line_hash").groupBy("key").agg(F.collect_list(F.struct("line_hash", "texts", "tokens")).alias("own"))
-        led = few.select("own", F.explode("own").alias("lead")).select("lead", F.explode(F.filter("own", lambda x: (x["line_hash"] < F.col("lead.line_hash")) & _agree(x["tokens"], F.col("lead.tokens")))).alias("x"))
-        once = led.select(F.col("lead.line_hash").alias("a"), F.col("x.line_hash").alias("b"), F.greatest("lead.texts", "x.texts").alias("most")).distinct()
-        many = at.where(F.col("lines") > SMALL)
-        open_ = cut(many.join(tokens, "line_hash"), "line-many")
-        heads = open_.where("line_hash = leader").select("key", F.col("tokens").alias("lead"), F.col("texts").alias("head_texts")).dropDuplicates(["key"])
-        large = open_.where("line_hash <> leader").join(heads, "key").where(F.col("whole") | _agree(F.col("tokens"), F.col("lead")))
-        both = once.unionByName(large.select(F.col("leader").alias("a"), F.col("line_hash").alias("b"), F.greatest("texts", "head_texts").alias("most")))
-        found = cut(both.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("b").alias("line_hash")), F.struct(F.col("b").alias("leader"), F.col("a").alias("line_hash")))).alias("p"), "most").select("p.leader", "p.line_hash", "most"), "line-fits")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        out = cut(_recurring_families(pairs, texts, copies), "line-more")
-        rest = open_.where("NOT whole").select("key", "line_hash", "agreed", "part").join(hint_small(out), "line_hash", "left_anti")
-        rows = cut(_narrowed(rest.join(rows, ["line_hash", "agreed"])), "line-open")
-        parts += [placed, at, open_, found, rows, out]
-        if rows.isEmpty():
-            parts.remove(out)
-            drop(*parts)
-            return out
+    sizes = left.groupBy("leaf").agg(F.count("*").alias("lines"))
+    lines = cut(left.join(sizes, "leaf").select("leaf", "line_hash", "tokens", "lines"), "line-leaves")
+    few = lines.where(F.col("lines") <= SMALL).groupBy("leaf").agg(F.collect_list(F.struct("line_hash", "tokens")).alias("own"))
+    lead = few.select("own", F.explode("own").alias("lead"))
+    fits = F.filter("own", lambda x: (x["line_hash"] < F.col("lead.line_hash")) & _agree(x["tokens"], F.col("lead.tokens")))
+    pairs = cut(_both(lead.select(F.col("lead.line_hash").alias("a"), F.explode(F.transform(fits, lambda x: x["line_hash"])).alias("b"))), "line-pairs")
+    lines = lines.where(F.col("lines") > SMALL)
+    if lines.isEmpty():
+        return _spread(pairs, None, held)[1]
+    laid = _keys(lines).withColumn("salt", _salt(F.col("line_hash")))
+    several = laid.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1")
+    placed = cut(laid.join(_to_all_salts(several), ["key", "salt"]), "line-keys")
+    ids, hubs, done = lines.select("line_hash"), None, []
+    open_ = ids
+    for turn in range(TURNS):
+        near = _hubs(placed, lines, open_, turn)
+        hubs = near if hubs is None else cut(hubs.unionByName(near).distinct(), "line-all-near")
+        good, gone = _spread(pairs, hubs, held)
+        open_ = cut(ids.join(gone, "line_hash", "left_anti").join(hubs.where("inner"), "line_hash", "left_anti"), "line-open")
+        done += [near, open_, good, gone]
+        if open_.isEmpty():
+            break
+    left_over = cut(ids.join(gone, "line_hash", "left_anti"), "line-left")
+    if not left_over.isEmpty():
+        pairs = pairs.unionByName(_meetings(left_over, placed, lines, hubs))
+        good, gone = _spread(pairs, hubs, held)
+        still = cut(left_over.join(gone, "line_hash", "left_anti"), "line-still")
+        beside = pairs.join(still.withColumnRenamed("line_hash", "a"), "a").select(F.col("b").alias("line_hash"))
+        of_hubs = _to_all_salts(hubs.where("inner").join(still, "line_hash", "left_semi").select("hub").distinct())
+        beside = beside.unionByName(hubs.where("inner").join(of_hubs, ["hub", "salt"]).select("line_hash")).distinct()
+        unsure = cut(beside.join(gone, "line_hash", "left_semi").join(good, "line_hash", "left_anti"), "line-unsure")
+        if not unsure.isEmpty():
+            pairs = pairs.unionByName(_meetings(unsure, placed, lines, hubs))
+            good, gone = _spread(pairs, hubs, held)
+    done = [x for x in done if x is not gone]
+    drop(placed, *done)
+    return gone
 
 
 def recurring_lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, count_copies: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -181,15 +281,19 @@ def recurring_lines(docs: DataFrame, least_tokens: int = LEAST_TOKENS, count_cop
     several = cut(uses.join(leaves, "leaf", "left_semi"), "line-several")
     # of these leaves' lines, one copy each is read again, with its tokens
     words = _lines(docs).select(F.xxhash64("line").alias("line_hash"), "line").join(hint_small(several), "line_hash")
-    words = words.groupBy("leaf", "line_hash").agg(F.first("line").alias("line"), F.first("texts").alias("texts"))
-    left = cut(words.select("leaf", "line_hash", "texts", F.transform(F.split("line", " "), lambda t: F.xxhash64(t)).alias("tokens")), "line-words")
+    words = words.groupBy("leaf", "line_hash").agg(F.first("line").alias("line"))
+    left = cut(words.select("leaf", "line_hash", F.transform(F.split("line", " "), lambda t: F.xxhash64(t)).alias("tokens")), "line-words")
     rare = several.where(F.col("texts") < LEAST_TEXTS).select("line_hash")
-    texts = cut(in_tree.select("line_hash", "text_a", "text_b").join(hint_small(cut(rare, "line-rare")), "line_hash").distinct(), "line-texts")
+    held = in_tree.select("line_hash", "text_a", "text_b").join(hint_small(cut(rare, "line-rare")), "line_hash").distinct()
+    held = held.withColumn("rows", F.lit(1).cast("long")) if copies is None else held.join(hint_small(copies), ["text_a", "text_b"], "left").withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))
+    # a line in enough texts itself: which ones does not matter
+    often = several.where(F.col("texts") >= LEAST_TEXTS).select("line_hash", F.col("line_hash").alias("text_a"), F.lit(0).cast("long").alias("text_b"), F.lit(LEAST_TEXTS).cast("long").alias("rows"))
+    held = cut(held.select("line_hash", "text_a", "text_b", "rows").unionByName(often), "line-texts")
     whole = uses.where(F.col("texts") >= LEAST_TEXTS).select("line_hash")
     short = _short_recurring(docs, found)
-    family = _family_lines(left, texts, copies)
+    family = _family_lines(left, held)
     out = cut(whole.unionByName(short).unionByName(family).distinct(), "line-recurring")
-    drop(uses, several, left, texts, short, family)
+    drop(uses, several, left, held, short, family)
     return out, found
 
 
