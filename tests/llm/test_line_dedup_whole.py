@@ -132,6 +132,31 @@ def test_no_line_is_lost_where_families_drift(spark, monkeypatch):
     assert 0 < sum(n for _, n in out.values()) < sum(t.count("\n") for t in texts)
 
 
+def test_no_line_is_lost_where_large_leaves_are_parted_by_places(spark, monkeypatch):
+    for name, least in (("SMALL", 3), ("KEYED", 6), ("BLOCKED", 0)):
+        monkeypatch.setattr(linededup, name, least)
+    rng = random.Random(9)
+    texts = chains(rng) + [f"{letters(rng, 6)}\nthe same start of {w} {letters(rng, 1)} line {w} {w}x end {letters(rng, 1)} here" for w in ("one", "two", "six") for _ in range(8)]
+    texts += ["\n".join([f"the same start of table {letters(rng, 2)} row here and on it goes" for _ in range(20)]) for _ in range(2)]  # a family that two texts hold
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute.line_dedup(texts)
+    assert [n for n, t in enumerate(texts) if out[n] != want[t]] == []
+    assert out[len(texts) - 1][1] == 0 and 0 < sum(n for _, n in out.values()) < sum(t.count("\n") for t in texts)
+
+
+def test_words_are_counted_before_they_are_joined_and_a_large_family_takes_few_jobs(spark, monkeypatch):
+    plans, write = {}, linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df, tag: (plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()), write(df, tag))[1])
+    rng = random.Random(10)
+    texts = [f"{letters(rng, 40)}\nsome words of a line that {letters(rng, 1)} is in each of these texts\nAll rights reserved" for _ in range(200)]
+    spark.sparkContext.setJobGroup("a large family", "")
+    out = linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spark.sparkContext.setJobGroup("after it", "")
+    assert {r["n_dropped"] for r in out} == {2}
+    assert "LeftSemi" not in plans["line-shares"]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("a large family")) <= 70
+
+
 def test_columns_with_names_of_its_own(spark):
     docs = spark.createDataFrame([(n, f"{letters(random.Random(n), 5)}\nthe very same line") for n in range(3)], "doc_id long, text string").selectExpr("*", "1 AS __gone", "2 AS __a", "3 AS __b")
     assert {tuple(r[c] for c in ("__gone", "__a", "__b", "n_dropped")) for r in linededup.dedup_lines(docs).collect()} == {(1, 2, 3, 1)}
