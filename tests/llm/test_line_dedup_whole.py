@@ -157,6 +157,20 @@ def test_words_are_counted_before_they_are_joined_and_a_large_family_takes_few_j
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("a large family")) <= 70
 
 
+def test_blocks_of_a_large_family_give_a_row_for_each_line_and_none_for_a_pair(spark, monkeypatch):
+    plans, write = {}, linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df, tag: (plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString()), write(df, tag))[1])
+    held = lambda n: [(n, n, 1)]
+    rows = [(1, 62, n, [1, 2, 3, 4, 5, n], held(n)) for n in range(60)]  # every line leads
+    rows += [(1, 62, n, [1, 2, 3, n, 9, n], held(n)) for n in (60, 61)]  # agree with none
+    rows += [(2, 4, 100 + n, [1, 2, 3, 4, *rest], held(n)) for n, rest in enumerate(([5, 5, 5, 5], [5, 5, 6, 6], [6, 6, 5, 5], [7, 7, 8, 8]))]  # the first leads three, two of which lead none
+    words = spark.createDataFrame(rows, "leaf long, lines long, line_hash long, tokens array<long>, held array<struct<text_a: long, text_b: long, rows: long>>")
+    assert sorted(r["line_hash"] for r in linededup._family_lines(words).collect()) == [*range(60), 100, 101, 102]
+    assert plans["line-blocks"].count("Generate") == 1 and "Generate" not in plans["line-family"]
+    out = linededup._in_blocks(words.withColumnRenamed("leaf", "group")).collect()
+    assert len(out) == len(rows) and {r["line_hash"] for r in out if r["goes"]} == {*range(60), 100, 101, 102}
+
+
 def test_columns_with_names_of_its_own(spark):
     docs = spark.createDataFrame([(n, f"{letters(random.Random(n), 5)}\nthe very same line") for n in range(3)], "doc_id long, text string").selectExpr("*", "1 AS __gone", "2 AS __a", "3 AS __b")
     assert {tuple(r[c] for c in ("__gone", "__a", "__b", "n_dropped")) for r in linededup.dedup_lines(docs).collect()} == {(1, 2, 3, 1)}

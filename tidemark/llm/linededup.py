@@ -138,13 +138,16 @@ def _block(lines: Column, line_hash: Column) -> Column:
 
 
 def _in_blocks(groups: DataFrame) -> DataFrame:
-    """(line_hash, leads, near): whether a line of groups (group, lines, line_hash, tokens, held) leads a recurring template as far as its
-    block of about SMALL lines of its group shows; if so, the lines of the block that go with it.
+    """(line_hash, leads, goes): whether a line of groups (group, lines, line_hash, tokens, held) leads a recurring template as far as its
+    block of about SMALL lines of its group shows, and whether it goes with a line of its block that does. A row for each line, none for a pair.
     """
     own = groups.groupBy("group", _block(F.col("lines"), F.col("line_hash"))).agg(F.collect_list(F.struct("line_hash", "tokens", "held")).alias("own"))
-    near = own.select("own", F.explode("own").alias("lead")).select("lead.line_hash", _near(F.col("lead.tokens")).alias("near"))
-    leads = _rows(F.col("near.held")) >= LEAST_TEXTS
-    return cut(near.select("line_hash", leads.alias("leads"), F.when(leads, F.col("near.line_hash")).alias("near")), "line-blocks")
+    met = own.select(F.transform("own", lambda lead: F.struct(lead["line_hash"].alias("line_hash"), _near(lead["tokens"]).alias("near"))).alias("met"))
+    met = met.select(F.transform("met", lambda x: F.struct(x["line_hash"].alias("line_hash"), (_rows(x["near"]["held"]) >= LEAST_TEXTS).alias("leads"), x["near"]["line_hash"].alias("near"))).alias("met"))
+    gone = F.array_distinct(F.flatten(F.transform(F.filter("met", lambda x: x["leads"]), lambda x: x["near"])))
+    lines = F.transform("met", lambda x: F.struct(x["line_hash"].alias("line_hash"), x["leads"].alias("leads")))
+    each = met.select(gone.alias("gone"), lines.alias("met")).select("gone", F.explode("met").alias("line"))
+    return cut(each.select("line.line_hash", "line.leads", F.array_contains("gone", F.col("line.line_hash")).alias("goes")), "line-blocks")
 
 
 def _groups(words: DataFrame) -> DataFrame:
@@ -188,7 +191,7 @@ def _family_lines(words: DataFrame) -> DataFrame:
     are compared with all lines they could belong together with, and those that still don't lead with all that do.
     """
     blocks = _in_blocks(words.withColumnRenamed("leaf", "group"))
-    gone = blocks.select(F.explode("near").alias("line_hash"))
+    gone = blocks.where("goes").select("line_hash")
     words = words.where(F.col("lines") > SMALL)
     asks = cut(words.select("line_hash").join(blocks.where("leads").select("line_hash"), "line_hash", "left_anti"), "line-asks")
     if asks.isEmpty():
@@ -197,7 +200,7 @@ def _family_lines(words: DataFrame) -> DataFrame:
     if (groups.join(hint_small(asks), "line_hash").agg(F.sum("lines")).first()[0] or 0) > BLOCKED:
         # families that are a small part of their leaf are dense in their groups
         again = _in_blocks(groups.join(words.drop("leaf", "lines"), "line_hash"))
-        gone = gone.unionByName(again.select(F.explode("near").alias("line_hash")))
+        gone = gone.unionByName(again.where("goes").select("line_hash"))
         asks = cut(asks.join(again.where("leads").select("line_hash"), "line_hash", "left_anti"), "line-asks")
     texts = _met(groups, words, asks).select("line_hash", F.explode(F.slice(F.array_distinct(F.flatten("near.held")), 1, LEAST_TEXTS)).alias("text"))
     leads = texts.distinct().groupBy("line_hash").agg(F.sum("text.rows").alias("rows")).where(F.col("rows") >= LEAST_TEXTS).select("line_hash")
