@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
 from tidemark.llm.common import small_batches
@@ -184,7 +185,8 @@ def _replaced(docs: DataFrame, old: str, new: str, kind: DataType, convert) -> D
             columns = [b.column(n) for n in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, convert(b.column(len(kept)))], [*kept, new])
 
-    return docs.select(*(f"`{c}`" for c in kept), old).mapInArrow(run, schema)
+    # mapInArrow looks its input's columns up by name, where a dot would part a name
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(kept)), old).mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
