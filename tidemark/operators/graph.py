@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,24 +80,78 @@ def shared_devices(txn: DataFrame, account: DataFrame) -> DataFrame:
     return txn.select("id", "device_id").join(users, "device_id", "left").select("id", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("device_users"))
 
 
-def shared_device_network(txn: DataFrame, account: DataFrame, customer_id: int | None = None) -> DataFrame:
-    """(customer_id, other_id, devices): pairs of customers who used one device, with the devices; of one customer or all."""
+#: Customers of one cell, about: those who used the same devices go together.
+CELL = 256
+
+
+def device_uses(txn: DataFrame, account: DataFrame) -> DataFrame:
+    """Distinct (device_id, customer_id)."""
     owner = account.select(F.col("id").alias("sender_account_id"), "customer_id")
-    uses = txn.where("device_id is not null").select("device_id", "sender_account_id").distinct().join(owner, "sender_account_id").select("device_id", "customer_id").distinct()
+    uses = txn.where("device_id is not null").select("device_id", "sender_account_id").distinct().join(owner, "sender_account_id")
+    return uses.where("customer_id is not null").select("device_id", "customer_id").distinct()
+
+
+def device_cells(uses: DataFrame) -> DataFrame:
+    """(devices, customers): customers who used the very same devices, about CELL in a row; each is in one row."""
+    sets = uses.groupBy("customer_id").agg(F.array_sort(F.collect_list("device_id")).alias("devices"))
+    parts = sets.groupBy("devices").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    part = F.pmod(F.xxhash64("customer_id"), F.col("parts"))
+    return sets.join(parts, "devices").groupBy("devices", part.alias("part")).agg(F.collect_list("customer_id").alias("customers")).drop("part")
+
+
+def device_links(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left and right (devices, ...) as structs `a` and `b`, with the devices both used: a row for each pair that has any.
+
+    Pairs meet at each device they share and are kept at the first, so they need no grouping.
+    """
+    at = lambda df, name: df.select(F.explode("devices").alias("device_id"), F.struct(*df.columns).alias(name))
+    met = at(left, "a").join(at(right, "b"), "device_id").withColumn("devices", F.array_intersect("a.devices", "b.devices"))
+    return met.where(F.col("devices")[0] == F.col("device_id")).select("a", "b", "devices")
+
+
+def shared_device_network(txn: DataFrame, account: DataFrame, customer_id: int | None = None, shown=lambda devices: devices) -> DataFrame:
+    """(customer_id, other_id, devices): pairs of customers who used one device, with the devices as `shown` has them; of one customer or all.
+
+    Customers with the same devices are paired as a whole; single pairs are listed last, so none is shuffled or written.
+    """
+    uses = device_uses(txn, account)
     mine = uses if customer_id is None else uses.where(F.col("customer_id") == customer_id)
-    others = uses.select("device_id", F.col("customer_id").alias("other_id"))
-    pairs = mine.join(others, "device_id").where("customer_id <> other_id")
-    return pairs.groupBy("customer_id", "other_id").agg(F.array_sort(F.collect_set("device_id")).alias("devices"))
+    links = device_links(device_cells(mine), device_cells(uses)).select(F.col("a.customers").alias("customers"), F.col("b.customers").alias("others"), shown(F.col("devices")).alias("devices"))
+    pairs = links.select(F.explode("customers").alias("customer_id"), "others", "devices").select("customer_id", F.explode("others").alias("other_id"), "devices")
+    return pairs.where("customer_id <> other_id")
+
+
+def closest_by_device(txn: DataFrame, account: DataFrame, most: int = 15) -> DataFrame:
+    """(customer_id, other_id, devices): of shared_device_network(), each customer's `most` others with the most devices, equal ones by id.
+
+    Found for all customers with the same devices at once: they have the same others but for themselves, so one more is taken. Of cells in a link,
+    those are looked at that no `most` others go before by their number of devices.
+    """
+    cells = device_cells(device_uses(txn, account))
+    few = cells.select("devices", F.size("customers").alias("n"), F.slice(F.array_sort("customers"), 1, most + 1).alias("customers"))
+    sets = few.groupBy("devices").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("customers"))), 1, most + 1).alias("customers"))
+    sizes = sets.select("devices", "n")
+    links = device_links(sizes, sizes).select(F.col("a.devices").alias("own"), F.col("b.devices").alias("devices"), F.col("b.n").alias("n"), F.col("devices").alias("shared"))
+    level = Window.partitionBy("own").orderBy("size")
+    before = links.groupBy("own", (-F.size("shared")).alias("size")).agg(F.sum("n").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(level) - F.col("n")).where(F.col("before") <= most).select("own", "size")
+    near = links.withColumn("size", -F.size("shared")).join(before, ["own", "size"]).join(sets.select("devices", "customers"), "devices")
+    one = near.select("own", F.explode("customers").alias("other_id"), "size", "shared")
+    first = one.withColumn("place", F.row_number().over(Window.partitionBy("own").orderBy("size", "other_id"))).where(F.col("place") <= most + 1)
+    others = first.groupBy(F.col("own").alias("devices")).agg(F.array_sort(F.collect_list(F.struct("place", "other_id", "shared"))).alias("others"))
+    own = cells.select("devices", F.explode("customers").alias("customer_id")).join(others, "devices")
+    kept = F.slice(F.filter("others", lambda x: x["other_id"] != F.col("customer_id")), 1, most)
+    return own.select("customer_id", F.explode(kept).alias("x")).select("customer_id", "x.other_id", F.col("x.shared").alias("devices"))
 
 
 def network_connections(txn: DataFrame, account: DataFrame, customer_id: int | None = None) -> DataFrame:
     """(customer_id, other_id, kind): customers who share a device or were paid, without repeats."""
-    shared = shared_device_network(txn, account, customer_id).select("customer_id", "other_id", F.lit("SHARED_DEVICE").alias("kind"))
+    shared = shared_device_network(txn, account, customer_id, lambda _: F.lit("SHARED_DEVICE")).withColumnRenamed("devices", "kind")
     owner = account.select("id", "customer_id")
     paid = edges(txn).join(owner.select(F.col("id").alias("src"), "customer_id"), "src").join(owner.select(F.col("id").alias("dst"), F.col("customer_id").alias("other_id")), "dst")
     paid = paid if customer_id is None else paid.where(F.col("customer_id") == customer_id)
     paid = paid.where("customer_id <> other_id").select("customer_id", "other_id", F.lit("COUNTERPARTY").alias("kind"))
-    return shared.unionByName(paid).distinct()
+    return shared.unionByName(paid.distinct())  # pairs with a device come once
 
 
 def induced_subgraph(nodes: DataFrame, txn: DataFrame) -> DataFrame:

@@ -64,6 +64,10 @@ def shared_device(k):
 USES = "uses AS (SELECT DISTINCT device_id, customer_id FROM k_txn JOIN k_account a ON a.id = sender_account_id WHERE device_id IS NOT NULL)"
 
 
+def _as_text(ids):
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+
+
 @query(
     """SELECT customer_id, other_id, array_to_string(devices, ',') AS devices FROM (SELECT a.customer_id, b.customer_id AS other_id, list_sort(list(DISTINCT a.device_id)) AS devices,
     row_number() OVER (PARTITION BY a.customer_id ORDER BY count(DISTINCT a.device_id) DESC, b.customer_id) AS n FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id GROUP BY 1, 2) WHERE n <= 15""",
@@ -71,16 +75,12 @@ USES = "uses AS (SELECT DISTINCT device_id, customer_id FROM k_txn JOIN k_accoun
 )
 def shared_device_network(k):
     """Each customer's 15 closest others by shared devices, as a client shows them."""
-    from pyspark.sql import Window
-
-    pairs = G.shared_device_network(k.txn, k.account)
-    n = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc(F.size("devices")), "other_id"))
-    return pairs.withColumn("n", n).where("n <= 15").select("customer_id", "other_id", F.array_join(F.transform("devices", lambda x: x.cast("string")), ",").alias("devices"))
+    return G.closest_by_device(k.txn, k.account).withColumn("devices", _as_text(F.col("devices")))
 
 
 @query("SELECT a.customer_id, b.customer_id AS other_id, array_to_string(list_sort(list(DISTINCT a.device_id)), ',') AS devices FROM uses a JOIN uses b ON a.device_id = b.device_id AND a.customer_id <> b.customer_id GROUP BY 1, 2", USES)
 def shared_device_network_all(k):
-    return G.shared_device_network(k.txn, k.account).withColumn("devices", F.array_join(F.transform("devices", lambda x: x.cast("string")), ","))
+    return G.shared_device_network(k.txn, k.account, shown=_as_text)
 
 
 @query(
