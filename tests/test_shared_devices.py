@@ -47,3 +47,13 @@ def test_closest(uses):
     assert {(r["customer_id"], r["other_id"]): r["devices"] for r in rows} == {(a, b): d for a, x in by.items() for _, b, d in sorted(x)[:15]}
     assert len(rows) == sum(min(15, len(x)) for x in by.values())
     assert "array_intersect" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_pairs(uses):
+    txn, account, pairs = uses
+    got = G.shared_device_network(txn, account)
+    rows = got.collect()
+    assert len(rows) == len(pairs) and {(r["customer_id"], r["other_id"]): r["devices"] for r in rows} == pairs
+    assert "Exchange" not in _above_lists(got) and "Aggregate" not in _above_lists(got)
+    one = G.shared_device_network(txn, account, 1000).collect()
+    assert len(one) > 0 and {(r["customer_id"], r["other_id"]): r["devices"] for r in one} == {p: d for p, d in pairs.items() if p[0] == 1000}
