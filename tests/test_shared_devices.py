@@ -57,3 +57,15 @@ def test_all_pairs(uses):
     assert "Exchange" not in _above_lists(got) and "Aggregate" not in _above_lists(got)
     one = G.shared_device_network(txn, account, 1000).collect()
     assert len(one) > 0 and {(r["customer_id"], r["other_id"]): r["devices"] for r in one} == {p: d for p, d in pairs.items() if p[0] == 1000}
+
+
+def test_connections(spark, uses):
+    txn, account, pairs = uses
+    paid = [(2 * n, n % 7) for n in range(300)] + [(4, 5), (4, 4), (1, None), (None, 1), (9999, 3), (7000, 3), (1002, 1000), (1002, 1001)]
+    both = txn.withColumn("receiver_account_id", F.lit(None).cast("long")).unionByName(spark.createDataFrame([(s, r, None) for s, r in paid], "sender_account_id long, receiver_account_id long, device_id long"))
+    owner = {r["id"]: r["customer_id"] for r in account.collect()}
+    want = {(owner[s], owner[r], "COUNTERPARTY") for s, r in paid if owner.get(s) is not None and owner.get(r) is not None and owner[s] != owner[r]} | {(a, b, "SHARED_DEVICE") for a, b in pairs}
+    got = G.network_connections(both, account)
+    rows = got.collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+    assert "Exchange" not in _above_lists(got)
