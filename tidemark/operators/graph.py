@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.reach import within_two_steps
+from tidemark.operators.tables import kept
+
 
 def internal(txn: DataFrame) -> DataFrame:
     """Transactions between two accounts."""
@@ -63,12 +66,10 @@ def network_hops(account: DataFrame, txn: DataFrame) -> DataFrame:
 
 def connected_accounts(account: DataFrame, txn: DataFrame) -> DataFrame:
     """(account_id, connected_accounts): distinct accounts that paths over one or two transactions reach, itself included if one returns."""
-    # neighbours once, with the number of transactions between: a way there and back needs two
-    near = incidence(txn).groupBy("account", "other").agg(F.count("*").alias("n"))
-    one = near.select("account", F.col("other").alias("reached"))
-    step = near.select(F.col("account").alias("other"), F.col("other").alias("reached"))
-    two = near.join(step, "other").where("reached <> account or n > 1").select("account", "reached")
-    n = one.unionByName(two).distinct().groupBy("account").agg(F.count("*").alias("n"))
+    near = kept(incidence(txn).groupBy("account", "other").agg(F.count("*").alias("n")), "links")
+    # links lead both ways, so an account is always next to one next to it; but a way there and back needs two transactions
+    back = near.groupBy("account").agg(F.max((F.col("n") > 1) | (F.col("other") == F.col("account"))).alias("back"))
+    n = within_two_steps(near).join(back, "account").select("account", (F.col("n") - F.when(F.col("back"), 0).otherwise(1)).alias("n"))
     return account.select(F.col("id").alias("account")).join(n, "account", "left").select(F.col("account").alias("account_id"), F.coalesce("n", F.lit(0).cast("long")).alias("connected_accounts"))
 
 

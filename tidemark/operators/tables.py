@@ -16,6 +16,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-')}/tidemark-{tag}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written once to the folder in spark.checkpoint.dir, for what reads it many times. A session on one machine may do without the setting."""
     context = df.sparkSession.sparkContext
